@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import bpe
+from segmenta.llm import bpe, simhash
 from segmenta.llm.common import read_table
 
 
@@ -17,8 +17,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_simhash": op3_simhash,
 }
 
 ORACLES: dict[str, str] = {}
