@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import bpe, simhash
+from segmenta.llm import bpe, linededup, simhash
 from segmenta.llm.common import read_table
 
 
@@ -21,9 +21,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.digests(linededup.drop_frequent_lines(docs))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
+    "op8_linededup": op8_linededup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_linededup": linededup.oracle_sql(),
+}
