@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import bpe, linededup, simhash
+from segmenta.llm import bpe, linededup, mixing, simhash
 from segmenta.llm.common import read_table
 
 
@@ -21,6 +21,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, plan, reads = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixing.taken(base, plan, reads).withColumnRenamed("key", "doc_id")
+
+
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.digests(linededup.drop_frequent_lines(docs))
@@ -29,6 +34,7 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
+    "op7_mixing": op7_mixing,
     "op8_linededup": op8_linededup,
 }
 
