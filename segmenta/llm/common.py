@@ -49,3 +49,15 @@ def parts_for(size: int, per_part: int, least: int = 1) -> int:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of rows that Spark hands to a Python worker at once.
+ARROW_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as texts may be very long; a smaller bound that is set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "67108864b").rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))

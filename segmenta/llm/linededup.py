@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import materialise
+from segmenta.llm.common import bounded_batches, materialise
 
 #: Distinct lines counted in a task before they are handed on.
 FLUSH = 1 << 18
@@ -85,6 +85,7 @@ def drop_frequent_lines(
     A null or empty text is one empty line: ``n_lines`` 1, kept as it is.  Repeated rows are so many
     documents.  An empty table gives no rows."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     frequent = materialise(frequent_lines(docs, text, min_docs, min_chars).select("h"), "line-hashes")
     if frequent.count() * 16 <= broadcast_bytes:
         return _drop_by_set(docs, [bytes(r["h"]) for r in frequent.collect()], spark, text, out, min_chars)

@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import bpe, linededup, mixing, simhash
+from segmenta.llm import bpe, linededup, mixing, simhash, tokenstore
 from segmenta.llm.common import read_table
 
 
@@ -31,11 +31,17 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(linededup.drop_frequent_lines(docs))
 
 
+def op9_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenstore.digests(tokenstore.read_store(spark, tokenstore.write_store(read_table(spark, sf_dir, "documents"), path, end_id=2)))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
     "op7_mixing": op7_mixing,
     "op8_linededup": op8_linededup,
+    "op9_tokenstore": op9_tokenstore,
 }
 
 ORACLES: dict[str, str] = {

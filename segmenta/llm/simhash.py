@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import materialise, parts_for
+from segmenta.llm.common import bounded_batches, materialise, parts_for
 from segmenta.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             fps = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["key", "fp"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     made = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp long")
     return made.select(F.col("key").alias(key), "fp")
