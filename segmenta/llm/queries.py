@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import bpe, linededup, mixing, simhash, tokenstore
+from segmenta.llm import bpe, langid, linededup, mixing, simhash, tokenstore
 from segmenta.llm.common import read_table
 
 
@@ -21,6 +21,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, plan, reads = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixing.taken(base, plan, reads).withColumnRenamed("key", "doc_id")
@@ -39,6 +43,7 @@ def op9_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
+    "op5_langid": op5_langid,
     "op7_mixing": op7_mixing,
     "op8_linededup": op8_linededup,
     "op9_tokenstore": op9_tokenstore,
