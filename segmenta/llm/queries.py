@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import bpe, langid, linededup, mixing, simhash, tokenstore
+from segmenta.llm import bpe, langid, linededup, lm, mixing, simhash, tokenstore
 from segmenta.llm.common import read_table
 
 
@@ -40,6 +40,10 @@ def op9_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.digests(tokenstore.read_store(spark, tokenstore.write_store(read_table(spark, sf_dir, "documents"), path, end_id=2)))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
@@ -47,6 +51,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_linededup": op8_linededup,
     "op9_tokenstore": op9_tokenstore,
+    "op10_lm": op10_lm,
 }
 
 ORACLES: dict[str, str] = {
