@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         e = e.join(up.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
         e = materialise(e.where("ua <> ub").select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b")).distinct(), "cc-edges")
     return nodes
+
+
+def hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join what the pairs ``(i, j)`` link in ``label``, an array that gives each item the smallest item of its set."""
+    while len(i):
+        open_ = label[i] != label[j]
+        i, j = i[open_], j[open_]
+        if len(i):
+            join(label, np.append(j[i == i[0]], i[0]))
+
+
+def join(label: np.ndarray, items: np.ndarray) -> None:
+    """Make one set of the sets of ``items``."""
+    met = np.unique(label[items])
+    if len(met) > 1:
+        label[np.isin(label, met)] = met[0]

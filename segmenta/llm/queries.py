@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import bpe, langid, linededup, lm, mixing, simhash, tokenstore
+from segmenta.llm import bpe, covertree, langid, linededup, lm, mixing, simhash, tokenstore
 from segmenta.llm.common import read_table
 
 
@@ -17,6 +17,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path))
 
 
+def op2_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
@@ -46,6 +50,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_covertree": op2_covertree,
     "op3_simhash": op3_simhash,
     "op5_langid": op5_langid,
     "op7_mixing": op7_mixing,

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmenta.llm.common import bounded_batches, materialise, parts_for
-from segmenta.llm.components import connected_components
+from segmenta.llm.components import connected_components, hook
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -100,13 +100,7 @@ def stars(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np
         cols = cols[cols < len(b)]
         hit = np.bitwise_count(a[k * BLOCK : (k + 1) * BLOCK, None] ^ b[cols]) <= radius
         i, j = np.nonzero(hit)
-        i, j = i + k * BLOCK, cols[j] + shift
-        while len(i):
-            open_ = label[i] != label[j]
-            i, j = i[open_], j[open_]
-            if len(i):
-                met = np.unique(np.append(label[j[i == i[0]]], label[i[0]]))
-                label[np.isin(label, met)] = met[0]
+        hook(label, i + k * BLOCK, cols[j] + shift)
     moved = np.flatnonzero(label != np.arange(len(values)))
     return values[label[moved]], values[moved]
 
