@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import bpe, covertree, langid, linededup, lm, mixing, simhash, tokenstore
+from segmenta.llm import bpe, covertree, langid, linededup, lm, mixing, simhash, tokenstore, webp
 from segmenta.llm.common import read_table
 
 
@@ -29,6 +29,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.digests(webp.decode_media(webp.encode_media(read_table(spark, sf_dir, "documents"))))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, plan, reads = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixing.taken(base, plan, reads).withColumnRenamed("key", "doc_id")
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_covertree": op2_covertree,
     "op3_simhash": op3_simhash,
     "op5_langid": op5_langid,
+    "op6_media": op6_media,
     "op7_mixing": op7_mixing,
     "op8_linededup": op8_linededup,
     "op9_tokenstore": op9_tokenstore,
