@@ -32,8 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words memoised per worker before the memo is cleared.
-MEMO_WORDS = 400_000
+from segmenta.llm.common import bounded_batches
+
+#: Runs of non-space characters, and transitions, that a worker remembers (twice as many at most).
+MEMO_WORDS = 200_000
 #: Output characters after which a batch is handed on, so that long texts don't pile up.
 BATCH_BYTES = 8 << 20
 
@@ -194,7 +196,6 @@ class WordTokenizer:
         self.alphabet = byte_alphabet()
         merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
         self.automaton = MergeAutomaton(model["vocab"], merges, model["end_of_word_suffix"] or "")
-        self.labels = {i: t for t, i in model["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         #: Characters that str.split takes for white space and the pattern doesn't.
@@ -224,18 +225,32 @@ class WordTokenizer:
         chunks = self.space.split(text) if self.odd_space.search(text) else text.split()
         return b"".join(map(self.chunks.__getitem__, chunks))
 
+
+class Labels:
+    """The arcs' labels by id: all that decoding needs."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.labels = {i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+
     def decode(self, ids: bytes | None) -> str:
-        """The labels of the arcs, with a space between two, as a file without a decoder has it."""
+        """The labels with a space between two, as a file without a decoder has it."""
         if not ids:
             return ""
         return " ".join(map(self.labels.__getitem__, memoryview(ids).cast("I").tolist()))
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+@functools.lru_cache(maxsize=2)
+def labels(path: str) -> Labels:
+    return Labels(path)
+
+
 def _batches(rows: Iterator[pa.RecordBatch], make, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
     """``make(value)`` over the last column; hands on a batch as soon as it is large."""
     for batch in rows:
@@ -261,6 +276,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         t = tokenizer(path)
         return _batches(rows, t.encode, ["key", "ids"], [None, pa.binary()])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     made = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids binary")
     return made.select(F.col("key").alias(key), F.col("ids").alias(out))
@@ -272,7 +288,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids",
     Null ids decode to the empty text.  An id without a label is an error."""
 
     def run(rows):
-        t = tokenizer(path)
+        t = labels(path)
 
         def with_ids(rows):
             for batch in rows:
@@ -288,6 +304,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids",
 
         return with_ids(rows)
 
+    bounded_batches(encoded.sparkSession)
     kind = encoded.schema[key].dataType.simpleString()
     made = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, ids binary, decoded string")
     return made.select(F.col("key").alias(key), F.col("ids").alias(ids), F.col("decoded").alias(out))
