@@ -1,4 +1,72 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
 
-STAGES: list = []
+``STAGES`` lists (name, function); a function takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which the next one gets as
+its ``docs``.  All but the last return the columns of ``documents``."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from segmenta.llm import bpe, langid, linededup, mixing, simhash
+from segmenta.llm.common import fresh_path, read_table
+
+#: Least share of a text's n-grams that its language must hold (after the correction for false positives).
+MIN_LANGUAGE_SCORE = 0.25
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, and texts of which no language holds enough n-grams, go; ``lang`` becomes the prediction."""
+    found = langid.predict(docs, langid.fit(docs.where(~langid.held_out())), pred="lang_pred", score="lang_score")
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in many documents go; documents stay, and ``n_chars`` is counted anew."""
+    kept = linededup.drop_frequent_lines(docs, out="text")
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: that with the smallest id."""
+    groups = simhash.near_duplicates(docs)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each copy of a document that it takes, whole or in part."""
+    base, _, reads = mixing.mix(docs)
+    mixed = mixing.mixed_documents(docs, base, reads)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and digests of ids and decoded text."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.digests(bpe.decode(bpe.encode(docs, path), path))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("simhash_dedup", dedup_documents),
+    ("mix_sources", mix_sources),
+    ("bpe", tokenize),
+]
+
+#: None: the stages' learned filters, fingerprints, permutations and tokenizer can't be written in SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = fresh_path(spark, f"pipeline-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

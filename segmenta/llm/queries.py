@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import bpe, covertree, langid, linededup, lm, mixing, simhash, tokenstore, webp
+from segmenta.llm import bpe, covertree, langid, licenses, linededup, lm, mixing, simhash, tokenstore, webp
 from segmenta.llm.common import read_table
 
 
@@ -25,6 +25,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, read_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_covertree": op2_covertree,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
     "op5_langid": op5_langid,
     "op6_media": op6_media,
     "op7_mixing": op7_mixing,
