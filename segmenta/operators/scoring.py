@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +43,6 @@ def phrase_hits(elements: DataFrame, phrases: list[str], key: str = "doc_id", th
     document, on average, the earliest of equal ones; no row below ``threshold``.
 
     Distinct pairs of a phrase word and a document word are compared once, in an Arrow batch; the rest is native."""
-    import pandas as pd
-
     spark = elements.sparkSession
     rows = [(k, j, w, n) for k, p in enumerate(phrases) for w_ in [_phrase_words(p)] for n in [len(w_)] for j, w in enumerate(w_)]
     if not rows:

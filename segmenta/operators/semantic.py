@@ -117,9 +117,11 @@ def group_token_frame(merged: DataFrame, embedder, config: SemanticConfig | None
     return t.select(key, "group_id", "pos", "token", e.alias("embedding"))
 
 
-def sentence_distances(merged: DataFrame, tokens: DataFrame, dim: int, config: SemanticConfig | None = None, key: str = "doc_id") -> DataFrame:
+def sentence_distances(merged: DataFrame, tokens: DataFrame, dim: int, config: SemanticConfig | None = None, key: str = "doc_id", digits: int = 9) -> DataFrame:
     """A row for each sentence: ``prev_distance`` from the k sentences before to the current ones, ``next_distance`` from these to the k
-    after, null where there are none; their ``ratio``; and the sentence's own vector.  Sides are pooled over all their tokens."""
+    after, null where there are none; their ``ratio``; and the sentence's own vector.  Sides are pooled over all their tokens.
+
+    Distances are rounded to ``digits`` decimals: between equal sides they are rounding noise, whose ratio means nothing."""
     c = config or SemanticConfig()
     k, size = c.num_neighbors, c.current_chunk_size
     d = sentence_lists(merged, key)
@@ -138,7 +140,7 @@ def sentence_distances(merged: DataFrame, tokens: DataFrame, dim: int, config: S
     spans = d.select(key, "sent", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("x")).select(key, "sent", "x.*")
     pooled = pooling.pool_spans(tokens, spans, dim, c.pooling, key, ["sent", "side"])
     by = pooled.groupBy(key, "sent").agg(*[F.max(F.when(F.col("side") == s, F.col("embedding"))).alias(s) for s in ("own", "current", "previous", "next")])
-    metric = lambda u, v: F.when(u.isNotNull() & v.isNotNull(), V.distance(u, v, c.metric, V.SPAN_METRICS))
+    metric = lambda u, v: F.when(u.isNotNull() & v.isNotNull(), F.round(V.distance(u, v, c.metric, V.SPAN_METRICS), digits) + F.lit(0.0))
     by = by.withColumn("prev_distance", metric(F.col("previous"), F.col("current"))).withColumn("next_distance", metric(F.col("current"), F.col("next")))
     by = by.withColumn("ratio", V.ratio(F.col("prev_distance"), F.col("next_distance")))
     texts = d.select(key, "sent", F.array_join(F.slice(F.col("s.text"), i + 1, current_end - i), " ").alias("current_text"), F.get(F.col("s.n_tokens"), i).alias("n_tokens"))
@@ -156,9 +158,10 @@ def chunk_spans(items: Column, c: SemanticConfig) -> Column:
 
     def step(s, x):
         i, tokens, r = x["i"], x["t"], x["r"]
+        number = ~F.isnan(r)  # NaN is in no order with a threshold
         total = s["t"] + tokens
-        hard = F.coalesce(r >= c.hard_ratio, F.lit(False))
-        soft = (total >= c.soft_min_tokens) & ((total >= c.max_tokens) | F.coalesce(r > c.min_ratio, F.lit(False)))
+        hard = F.coalesce(number & (r >= c.hard_ratio), F.lit(False))
+        soft = (total >= c.soft_min_tokens) & ((total >= c.max_tokens) | F.coalesce(number & (r > c.min_ratio), F.lit(False)))
         out = F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), i.alias("b"), s["r"].alias("start_ratio"))))
         again = F.lit(0 if c.repeat_boundary else 1)
         split = F.struct(out.alias("out"), (i + again).cast("int").alias("a"), F.when(F.lit(c.repeat_boundary), tokens).otherwise(F.lit(0)).cast("long").alias("t"), r.alias("r"))
@@ -173,7 +176,8 @@ def chunk_spans(items: Column, c: SemanticConfig) -> Column:
 
 
 def format_ratio(r: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", r), F.lit("N/A"))
+    """Four decimals; "inf", "nan", and "N/A" for null."""
+    return F.when(r.isNull(), "N/A").when(F.isnan(r), "nan").when(F.abs(r) == float("inf"), F.when(r > 0, "inf").otherwise("-inf")).otherwise(F.format_string("%.4f", r))
 
 
 def semantic_chunks(distances: DataFrame, dim: int, config: SemanticConfig | None = None, key: str = "doc_id") -> DataFrame:

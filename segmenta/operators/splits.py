@@ -5,6 +5,7 @@ document's list of integers and run per document, with prefix sums."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,8 +173,6 @@ def refine(d: Document, points: list[int]) -> list[int]:
 
 def _per_document(scored: DataFrame, splits: DataFrame, search, config: SplitConfig, key: str) -> DataFrame:
     """``search(document, points)`` for each document; one small group of integers and scores each."""
-    import pandas as pd
-
     kind = scored.schema[key].dataType.simpleString()
     rows = scored.select(key, "pos", F.coalesce("token_size", F.lit(0)).cast("int").alias("size"), F.col("score.sum").cast("double").alias("score"))
     rows = rows.join(splits.select(key, F.col("split_idx").alias("pos"), F.lit(True).alias("split")), [key, "pos"], "left")

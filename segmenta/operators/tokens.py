@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,8 +75,6 @@ def _ratio_of_tokens(a: str, b: str, known: dict) -> float:
 def fuzzy_overlap(pairs: DataFrame, earlier: str, later: str, threshold: float = 0.7, out: str = "overlap") -> DataFrame:
     """``pairs`` with the greatest n for which the last n tokens of ``earlier`` and the first n of ``later`` all have a similarity
     ratio of at least ``threshold``, one by one."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def longest(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict = {}

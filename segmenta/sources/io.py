@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,6 @@ def elements_of(texts: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def parse_elements(lines: DataFrame, line: str = "value") -> DataFrame:
     """Element rows from lines that each hold a Python literal; blank lines are skipped and bad ones dropped."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def as_json(batch: pd.Series) -> pd.Series:
         import ast
@@ -68,8 +67,6 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
 
 def _literal(df: DataFrame) -> DataFrame:
     """Each row as a Python literal."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def as_literal(batch: pd.Series) -> pd.Series:
         import json
