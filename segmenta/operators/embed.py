@@ -6,6 +6,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segmenta.config import WindowConfig
 from segmenta.functions import vectors as V
@@ -65,7 +66,7 @@ class FunctionEmbedder:
                 pdf["vectors"] = [[[float(x) for x in v] for v in model([r["token"] for r in rows])] for rows in pdf["rows"]]
                 yield pdf
 
-        schema = rows.schema.add("vectors", "array<array<double>>")
+        schema = T.StructType([*rows.schema.fields, T.StructField("vectors", T.ArrayType(T.ArrayType(T.DoubleType())))])
         out = rows.mapInPandas(run, schema).select(*slice_cols, F.explode(F.arrays_zip("rows", "vectors")).alias("z"))
         return out.select(*[F.col(c) if c in slice_cols else F.col(f"z.rows.{c}").alias(c) for c in cols], F.col("z.vectors").alias("embedding"))
 
