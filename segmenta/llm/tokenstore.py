@@ -30,9 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segmenta.llm.bpe import Memo
 from segmenta.llm.common import bounded_batches, fresh_path, parts_for, text_bytes
 
 MAGIC = b"SEGTOK1\n"
@@ -40,7 +42,8 @@ MAGIC = b"SEGTOK1\n"
 SHARD_BYTES = 16 << 20
 #: Bits of a level for each key, and levels of random placement (then the rest is listed).
 GAMMA, LEVELS = 2.0, 48
-MEMO = 300_000
+#: Pieces, and pre-tokens, that a worker remembers (twice as many at most).
+MEMO = 250_000
 
 
 def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -175,16 +178,24 @@ class Shard:
 
 
 # -- encoding with the library
+class _NotAlone(Exception):
+    """A piece whose ids depend on what stands before it."""
+
+
 class CachedEncoder:
-    """The library's ids, remembering the runs that the pre-tokenizer can't join.
+    """The library's ids, remembered by piece of text and by pre-token.
 
-    The byte-level pattern never crosses from a character that isn't white space into a following space, and what it makes
-    of a text depends only on what comes after; so a run of other characters with the one space before it, or a
-    run of white space less that space, can be encoded alone.  Texts with special tokens, or with
-    characters that only one of the two regular expression engines takes for white space, are encoded whole."""
+    What the byte-level pattern makes of a text at some place depends only on what comes after it, and no match goes from
+    another character into a single space with text behind it.  So the text is cut before such spaces, and a piece
+    that is new is cut by the pattern into pre-tokens, which the library encodes.  Where a space is followed by white space the
+    text is cut by the pattern alone.  Texts with special tokens, or with
+    characters that only one of two regular expression engines takes for white space, are encoded whole, and pieces beyond Latin
+    letters, where the engines' tables may differ in age, as one."""
 
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     PIECES = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
-    ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+    ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+    FAR = re.compile("[^\x00-\u024f]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -195,27 +206,35 @@ class CachedEncoder:
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.width = 2 if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
-        self.memo: dict[str, bytes] = {}
+        self.pattern = regex.compile(self.PATTERN)
+        self.tokens = Memo(self._whole, MEMO)
+        self.pieces = Memo(self._piece, MEMO)
+        self.led = Memo(self._led, MEMO)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        if self.FAR.search(piece):
+            return self._whole(piece)
+        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(piece)))
+
+    def _led(self, rest: str) -> bytes:
+        """A piece by what follows its space."""
+        if not rest or rest[0].isspace():
+            raise _NotAlone
+        return self._piece(" " + rest)
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(x in text for x in self.special) or (not text.isprintable() and self.ODD.search(text)):
             return self._whole(text)
-        pieces, memo = self.PIECES.findall(text), self.memo
+        first, *rest = text.split(" ")
         try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            if len(memo) >= 2 * MEMO:
-                memo.clear()
-            missing = list({p for p in pieces if p not in memo})
-            made = {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(missing, self.t.encode_batch(missing, add_special_tokens=False), strict=True)}
-            memo.update((p, b) for p, b in made.items() if len(p) <= 64)
-            get = memo.get
-            return b"".join([b if (b := get(p)) is not None else made[p] for p in pieces])
+            return self._piece(first) + b"".join(map(self.led.__getitem__, rest))
+        except _NotAlone:
+            return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(text)))
 
 
 @functools.lru_cache(maxsize=2)
