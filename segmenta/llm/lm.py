@@ -12,7 +12,7 @@ or else by the failure arc and the root's arc; the weights are added up.
 
 All texts are counted.  Documents are dealt into buckets by hash.  A bucket sends the distinct n-grams that it holds, as sorted
 64-bit hashes with its own training counts, in one packed row for each range of hashes; each range adds up the counts of
-all buckets and sends back to every bucket the sums that differ from the bucket's own.  The bucket then scores its
+all buckets and sends back to every bucket the sums that differ from the bucket's own, by their places among what it sent.  The bucket then scores its
 documents over the automaton of just the n-grams that occur in it.  So no task, and not the driver, holds the model, and
 a frequent n-gram costs a row's entry for each bucket at most.  Two n-grams with equal hashes would share a count; with ten
 million of them the odds of one such pair are 1 in 300,000."""
@@ -95,9 +95,10 @@ class Counted:
         self.keys, self.at = np.unique(keys, return_inverse=True)
         self.counts = np.bincount(self.at[training], minlength=len(self.keys)).astype(np.int64)
 
-    def overlay(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Replace the counts of some keys that are here."""
-        self.counts[np.searchsorted(self.keys, keys)] = counts
+    def overlay(self, part: int, ranges: int, places: np.ndarray, counts: np.ndarray) -> None:
+        """Replace counts; places are numbered from the first key of a range."""
+        first = np.searchsorted(_ranges(self.keys, ranges), part)
+        self.counts[first + places.astype(np.int64)] = counts
 
 
 class Bucket:
@@ -140,11 +141,12 @@ class BackoffAutomaton:
 
 # -- packed rows
 def pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted keys as differences of as few bytes as they need; counts likewise."""
+    """Sorted keys as differences of as few bytes as they need; counts likewise.  All first bytes stand together, then all second
+    ones, and so on: the high ones are mostly zero, and the shuffle's compression makes little of them."""
 
     def narrow(x: np.ndarray) -> bytes:
         width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-        return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+        return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
     return narrow(np.diff(keys, prepend=np.uint64(0))), narrow(counts.astype(np.uint64))
 
@@ -152,9 +154,9 @@ def pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
 def unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     def wide(raw: bytes) -> np.ndarray:
         width = raw[0]
-        a = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
-        out = np.zeros((len(a), 8), np.uint8)
-        out[:, :width] = a
+        a = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+        out = np.zeros((a.shape[1], 8), np.uint8)
+        out[:, :width] = a.T
         return out.view("<u8").ravel().astype(np.uint64)
 
     return np.cumsum(wide(keys), dtype=np.uint64), wide(counts).astype(np.int64)
@@ -222,7 +224,7 @@ def score(docs: DataFrame, training, key: str = "doc_id", text: str = "text", bu
     spark = docs.sparkSession
     bounded_batches(spark)
     d = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    parts = parts_for(text_bytes(d, "text"), bucket_bytes)
+    parts = parts_for(text_bytes(d, "text"), bucket_bytes, spark.sparkContext.defaultParallelism)
     total, distinct = totals(d, parts)
     dealt = d.withColumn("bucket", F.pmod(F.xxhash64("key", "text"), F.lit(parts)).cast("int")).repartition(parts, "bucket")
 
@@ -234,12 +236,12 @@ def score(docs: DataFrame, training, key: str = "doc_id", text: str = "text", bu
 
     def answer(table: pa.Table) -> pa.Table:
         keys, counts, rows = _merge(table)
-        kind, out = table["kind"][0].as_py(), []
+        kind, part, out = table["kind"][0].as_py(), table["part"][0].as_py(), []
         for bucket, own, own_counts in rows:
             all_counts = counts[np.searchsorted(keys, own)]
-            other = all_counts != own_counts
-            if other.any():
-                out.append((kind, 0, bucket, *pack(own[other], all_counts[other])))
+            other = np.flatnonzero(all_counts != own_counts)
+            if len(other):
+                out.append((kind, part, bucket, *pack(other.astype(np.uint64), all_counts[other])))
         return _table(out)
 
     kind = d.schema["key"].dataType.simpleString()
@@ -247,8 +249,8 @@ def score(docs: DataFrame, training, key: str = "doc_id", text: str = "text", bu
 
     def traverse(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         b = Bucket(_texts(docs_), _training(docs_))
-        for k, keys, counts in zip(answers["kind"].to_pylist(), answers["keys"].to_pylist(), answers["counts"].to_pylist(), strict=True):
-            (b.pairs if k else b.words).overlay(*unpack(keys, counts))
+        for k, part, places, counts in zip(*(answers[c].to_pylist() for c in ("kind", "part", "keys", "counts")), strict=True):
+            (b.pairs if k else b.words).overlay(part, parts, *unpack(places, counts))
         a = BackoffAutomaton(b, total, distinct, prior)
         model, base = a.scores()
         known = np.add.reduceat((b.words.counts[a.word] > 0).astype(np.int64), a.first) if len(a.first) else np.zeros(0, np.int64)
