@@ -176,34 +176,63 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
 
 def taken(base: DataFrame, plan: DataFrame, reads: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """``(key, size, source_size, target, taken)`` of every document."""
-    words = taken_ranges(base, reads, block).groupBy("key", "source", "h", "size", "start").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
-    cols = ["key", "source", "h", "size", "start"]
-    none = base.where("size = 0").select(*cols, F.lit(0).cast("long").alias("taken"))
-    got = base.where("size > 0").select(*cols, F.lit(0).cast("long").alias("taken")).unionByName(words).groupBy(*cols).agg(F.sum("taken").alias("taken")).unionByName(none)
+    """``(key, size, source_size, target, taken)`` of every document, as the plan of the reads has it."""
+    r = taken_ranges(base, reads, block).select("source", "start", (F.col("to") - F.col("from")).alias("n"))
+    return _by_document(base, plan, r)
+
+
+def counted(base: DataFrame, plan: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``(key, size, source_size, target, taken)`` of every document, counted from the words in the blocks of the mix."""
+    n = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), F.size(F.slice("words", x["at"] + 1, x["n"])).cast("long").alias("n")))
+    return _by_document(base, plan, mixed.select("source", F.explode(n).alias("x")).select("source", "x.start", "x.n"))
+
+
+def _by_document(base: DataFrame, plan: DataFrame, words: DataFrame) -> DataFrame:
+    """The words ``(source, start, n)`` summed for each document; where a document of words starts tells it from all others of its source."""
+    all_ = base.where("size > 0").select("source", "start", "key", "size", F.lit(0).cast("long").alias("n"))
+    all_ = all_.unionByName(words.select("source", "start", "n"), allowMissingColumns=True)
+    got = all_.groupBy("source", "start").agg(F.max("key").alias("key"), F.max("size").alias("size"), F.sum("n").alias("taken")).drop("start")
+    got = got.unionByName(base.where("size = 0").select("source", "key", "size", F.lit(0).cast("long").alias("taken")))
     p = _small(plan.select(F.col("source").alias("s"), "source_size", "target"), "s")
     return got.join(p, _same(F.col("source"), F.col("s"))).select("key", "size", "source_size", "target", "taken")
 
 
 def packed_blocks(docs: DataFrame, base: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK_WORDS) -> DataFrame:
-    """``(source, block, words array<string>)``: the blocks themselves."""
-    d = _keyed(docs, key, source, text).select("k_id", "k_source", "h", "rn", F.regexp_extract_all(F.col("t"), F.lit(WORD), F.lit(0)).alias("w"))
+    """``(source, block, words array<string>, spans)``: the blocks themselves, and whose their words are: of each document
+    its place in the block, its ``start`` in the source and its number of words.
+
+    A part of a block is shuffled as one text; a document is cut once, however many blocks it reaches."""
+    d = _keyed(docs, key, source, text).select("k_id", "k_source", "h", "rn", "t")
     b = _numbered(base.where("size > 0")).select("k_id", "k_source", "h", "rn", "source", "size", "start")
-    j = d.join(b, ["k_id", "k_source", "h", "rn"])
+    j = d.join(b, ["k_id", "k_source", "h", "rn"]).select("source", "start", "size", F.regexp_extract_all(F.col("t"), F.lit(WORD), F.lit(0)).alias("w"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    j = j.select("source", "start", "w", F.explode(F.sequence(first, last)).alias("block"))
-    lo = F.greatest(F.col("start"), F.col("block") * block)
-    hi = F.least(F.col("start") + F.size("w"), (F.col("block") + 1) * block)
-    part = F.slice("w", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int"))
-    j = j.select("source", "block", F.struct(lo.alias("at"), part.alias("w")).alias("part"))
-    return j.groupBy("source", "block").agg(F.flatten(F.sort_array(F.collect_list("part"))["w"]).alias("words"))
+
+    def part(k: Column) -> Column:
+        lo, hi = F.greatest(F.col("start"), k * block), F.least(F.col("start") + F.col("size"), (k + 1) * block)
+        n = (hi - lo).cast("int")
+        words = F.array_join(F.slice("w", (lo - F.col("start") + 1).cast("int"), n), " ")
+        return F.struct(k.alias("block"), (lo - k * block).cast("int").alias("at"), n.alias("n"), words.alias("w"))
+
+    j = j.select("source", "start", F.explode(F.transform(F.sequence(first, last), part)).alias("p"))
+    j = j.select(*_exact("source"), F.col("p.block").alias("block"), F.struct("p.at", "start", "p.n", "p.w").alias("p"))
+    j = j.groupBy("s_name", "s_null", "block").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    words = F.flatten(F.transform("p", lambda x: F.split(x["w"], " ")))
+    spans = F.transform("p", lambda x: F.struct(x["at"].alias("at"), x["start"].alias("start"), x["n"].alias("n")))
+    return j.select("s_name", "s_null", F.when(~F.col("s_null"), F.col("s_name")).alias("source"), "block", words.alias("words"), spans.alias("spans"))
 
 
 def mixed_blocks(blocks: DataFrame, reads: DataFrame) -> DataFrame:
-    """``(shard, source, slot, words array<string>)``: the mix, block by block."""
-    b = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("words").alias("w"))
-    j = reads.join(b, _same(F.col("source"), F.col("s")) & (F.col("block") == F.col("b")))
-    return j.select("shard", "source", "slot", F.slice("w", 1, F.col("words").cast("int")).alias("words"))
+    """``(shard, source, slot, words array<string>, spans)``: the mix, block by block.  Spans are those of the whole block, of
+    which a cut slot has the first words."""
+    b = blocks.select("s_name", "s_null", "block", F.col("words").alias("w"), "spans")
+    # joined by what the blocks are grouped by, so that they aren't shuffled again
+    j = reads.select("*", *_exact("source")).join(b, ["s_name", "s_null", "block"])
+    return j.select("shard", "source", "slot", F.slice("w", 1, F.col("words").cast("int")).alias("words"), "spans")
+
+
+def _exact(source: str) -> list[Column]:
+    """The source as two columns without nulls."""
+    return [F.coalesce(source, F.lit("")).alias("s_name"), F.isnull(source).alias("s_null")]
 
 
 def _keys(key: Column, source: Column) -> list[Column]:

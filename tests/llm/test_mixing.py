@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from segmenta.llm import mixing
+from segmenta.llm import mixing, queries
 
 
 def targets(sizes, share=1.5, most=2):
@@ -60,3 +60,28 @@ def test_permutation_is_a_bijection(spark):
 def test_empty(none):
     base, plan, reads = mixing.mix(none)
     assert mixing.taken(base, plan, reads).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_blocks_carry_their_documents(odd, small, block):
+    for docs in (odd, small):
+        base, plan, reads = mixing.mix(docs, block=block)
+        mixed = mixing.mixed_blocks(mixing.packed_blocks(docs, base, block=block), reads)
+        assert sorted(map(str, mixing.counted(base, plan, mixed).collect())) == sorted(map(str, mixing.taken(base, plan, reads, block).collect()))
+        texts = {(r["source"], r["key"], r["h"]): r["text"].split() for r in docs.select("text", "source", F.col("doc_id").alias("key"), F.xxhash64("text").alias("h")).collect() if r["text"]}
+        of = {(r["source"], r["start"]): texts[r["source"], r["key"], r["h"]] for r in base.where("size > 0").collect()}
+        blocks = {(r["source"], r["block"]): r["words"] for r in mixing.packed_blocks(docs, base, block=block).collect()}
+        for s, k in blocks:
+            assert len(blocks[s, k]) == block or (s, k + 1) not in blocks
+        for s, start in of:
+            for at, w in enumerate(of[s, start], start):
+                assert blocks[s, at // block][at % block] == w
+
+
+def test_query_counts_the_joined_blocks(spark, monkeypatch):
+    whole = queries.op7_mixing(spark, "/root/testdata/sf0.001").collect()
+    assert sum(r["taken"] for r in whole) > 0
+    join = mixing.mixed_blocks
+    monkeypatch.setattr(mixing, "mixed_blocks", lambda blocks, reads: join(blocks, reads).withColumn("words", F.slice("words", 1, 10)))
+    cut = queries.op7_mixing(spark, "/root/testdata/sf0.001").collect()
+    assert len(cut) == len(whole) and 0 < sum(r["taken"] for r in cut) < sum(r["taken"] for r in whole) / 50
