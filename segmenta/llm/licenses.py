@@ -3,14 +3,15 @@
 Words are runs of ASCII letters and digits, A-Z lower-cased.  From the k-word grams of a template winnowing selects the least hash of
 every window of ``WINDOW`` grams, so every passage of ``WINDOW + K - 1`` words of it has a selected gram (a template with
 fewer has one).  The inverted index maps a selected gram to its places in templates.  Every gram of a text is looked up;
-hits on neighbouring diagonals of a template are one candidate, which is aligned with the text around it in a band
-(local alignment: 1 for an equal word, -1 for another word or a gap).  A candidate is reported if enough of the
-template's words are matched: with coverage, matched words, and the span of characters.  Of overlapping reports the one with most
+a hit that no report of its template has yet is a candidate, which is aligned in a band with the text around it that is free of such
+reports, so that notices right after each other are all found (local alignment: 1 for an equal word, -1 for another word or a gap).  A candidate
+is reported if enough of the template's words are matched: with coverage, matched words, and the span of characters.  Of overlapping reports the one with most
 matched words stays."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from collections import defaultdict
 
 import numpy as np
@@ -79,6 +80,13 @@ def winnow(hashes: list[int], window: int) -> list[int]:
     return picked
 
 
+def _free(spans: list[tuple[int, int]], start: int, end: int, size: int) -> tuple[int, int] | None:
+    """The gap between the sorted ``spans`` in 0 .. size that holds all of start .. end, or None."""
+    k = bisect_right(spans, (start, size))
+    low, high = spans[k - 1][1] if k else 0, spans[k][0] if k < len(spans) else size
+    return (low, high) if low <= start and end <= high else None
+
+
 class Scanner:
     """The index of the templates and the scan of a text."""
 
@@ -118,37 +126,41 @@ class Scanner:
         found = list(_WORD.finditer(text))
         words = [m.group().lower() for m in found]
         reports = []
-        by_template: dict[int, list[int]] = defaultdict(list)
+        by_template: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for t, p, at in hits:
-            by_template[t].append(at - p)
-        for t, diagonals in by_template.items():
-            last = None
-            for d in sorted(diagonals):
-                if last is not None and d - last <= self.band:
-                    continue  # in the band of the candidate before
-                last = d
-                if r := self._align(t, d, words):
+            by_template[t].add((at - p, at))
+        for t, places in by_template.items():
+            name, n, template = self.templates[t]
+            spans: list[tuple[int, int]] = []  # words of the text that reports of this template have
+            tried = set()
+            for d, at in sorted(places):
+                # until a report has the hit, or what is free about it holds none
+                while (free := _free(spans, at, at + self.k, len(words))) and (d, free) not in tried:
+                    tried.add((d, free))
+                    r = self._align(t, d, words, *free)
+                    if r is None or r[0] < self.min_coverage * len(template):
+                        break
                     matched, first, final = r
-                    name, n, template = self.templates[t]
-                    if matched >= self.min_coverage * len(template):
-                        reports.append((name, n, matched / len(template), matched, found[first].start(), found[final].end()))
+                    insort(spans, (first, final + 1))
+                    reports.append((name, n, matched / len(template), matched, found[first].start(), found[final].end()))
         reports.sort(key=lambda r: (-r[3], -r[2], r[4], r[0], r[1]))
         kept: list[tuple] = []
         taken: list[tuple[int, int]] = []
         for r in reports:
-            if all(r[5] <= a or r[4] >= b for a, b in taken):
+            if _free(taken, r[4], r[5], len(text)):
                 kept.append(r)
-                taken.append((r[4], r[5]))
+                insort(taken, (r[4], r[5]))
         return sorted(kept, key=lambda r: r[4])
 
-    def _align(self, t: int, diagonal: int, words: list[str]) -> tuple[int, int, int] | None:
-        """Best local alignment of the template about a diagonal: matched words, first and last word of the text."""
+    def _align(self, t: int, diagonal: int, words: list[str], low: int, high: int) -> tuple[int, int, int] | None:
+        """Best local alignment of the template about a diagonal, with the words from low to high (excluded): matched words, first and
+        last word of the text."""
         template, band = self.templates[t][2], self.band
         best: tuple[int, int, int, int] | None = None
         before: dict[int, tuple[int, int, int]] = {}  # by text word: score, matched, first word
         for p, w in enumerate(template):
             now: dict[int, tuple[int, int, int]] = {}
-            for at in range(max(0, p + diagonal - band), min(len(words), p + diagonal + band + 1)):
+            for at in range(max(low, p + diagonal - band), min(high, p + diagonal + band + 1)):
                 s, m, first = before.get(at - 1, (0, 0, -1))
                 cell = (s + 1, m + 1, at if first < 0 else first) if words[at] == w else (s - 1, m, first)
                 for s, m, first in (before.get(at, (0, 0, -1)), now.get(at - 1, (0, 0, -1))):

@@ -24,6 +24,17 @@ def test_every_template_is_found_alone():
             assert (name, n, 1.0) in [r[:3] for r in s.scan(f"Before it. {t} After it.")]
 
 
+def test_adjacent_repeats_are_all_found():
+    s = licenses.Scanner()
+    for name, texts in licenses.TEMPLATES.items():
+        for n, t in enumerate(texts):
+            for times in (2, 3, 7):
+                for between in (" ", "\n", " and "):
+                    got = s.scan(between.join([t] * times))
+                    assert [r[:3] for r in got] == [(name, n, 1.0)] * times
+                    assert [r[4] for r in got] == [k * len(t + between) for k in range(times)]
+
+
 def test_brute_force_over_the_lines(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = sorted((r["doc_id"], r["license"], r["span_start"], r["span_end"]) for r in licenses.scan(docs).collect())
