@@ -5,7 +5,8 @@ every window of ``WINDOW`` grams, so every passage of ``WINDOW + K - 1`` words o
 fewer has one).  The inverted index maps a selected gram to its places in templates.  Every gram of a text is looked up;
 a hit that no report of its template has yet is a candidate, which is aligned in a band with the text around it that is free of such
 reports, so that notices right after each other are all found (local alignment: 1 for an equal word, -1 for another word or a gap).  A candidate
-is reported if enough of the template's words are matched: with coverage, matched words, and the span of characters.  Of overlapping reports the one with most
+is reported if enough of the template's words are matched, and all that tell its license from others (``TELLING``, numbers): with coverage, matched words, and the span of
+characters.  Of overlapping reports the one with most
 matched words stays."""
 
 from __future__ import annotations
@@ -42,6 +43,27 @@ TEMPLATES: dict[str, list[str]] = {
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "MPL-2.0": [
+        "Licensed under the Mozilla Public License, Version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    ],
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
@@ -51,6 +73,19 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission.",
+    ],
     "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
@@ -60,6 +95,9 @@ TEMPLATES: dict[str, list[str]] = {
     "all-rights-reserved": ["All rights reserved."],
 }
 
+#: Words that tell licenses apart, as numbers do: a report has all of them that its template has, and no other of these words.
+TELLING = frozenset("apache mit isc gnu lesser affero mozilla cc by nc sa nd noncommercial sharealike noderivatives neither endorse".split())
+
 _WORD = re.compile(r"[A-Za-z0-9]+")
 _BYTES = re.compile(rb"[a-z0-9]+")
 
@@ -93,6 +131,7 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]] | None = None, k: int = K, window: int = WINDOW, band: int = BAND, min_coverage: float = MIN_COVERAGE):
         self.k, self.band, self.min_coverage = k, band, min_coverage
         self.templates = [(name, n, words_of(t)) for name, texts in sorted((templates or TEMPLATES).items()) for n, t in enumerate(texts)]
+        self.telling = [sum(1 << p for p, w in enumerate(words) if w in TELLING or w.isdigit()) for _, _, words in self.templates]
         self.vocabulary: dict[bytes, int] = {}
         self.index: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for t, (_, _, words) in enumerate(self.templates):
@@ -138,10 +177,13 @@ class Scanner:
                 while (free := _free(spans, at, at + self.k, len(words))) and (d, free) not in tried:
                     tried.add((d, free))
                     r = self._align(t, d, words, *free)
-                    if r is None or r[0] < self.min_coverage * len(template):
+                    if r is None or r[0].bit_count() < self.min_coverage * len(template):
                         break
-                    matched, first, final = r
+                    matched, first, final = r[0].bit_count(), *r[1:]
                     insort(spans, (first, final + 1))
+                    others = TELLING.difference(template, ("by",)).intersection(words[first : final + 1])
+                    if others or r[0] & self.telling[t] != self.telling[t]:
+                        continue  # another license; what is beside it is still looked at
                     reports.append((name, n, matched / len(template), matched, found[first].start(), found[final].end()))
         reports.sort(key=lambda r: (-r[3], -r[2], r[4], r[0], r[1]))
         kept: list[tuple] = []
@@ -153,22 +195,22 @@ class Scanner:
         return sorted(kept, key=lambda r: r[4])
 
     def _align(self, t: int, diagonal: int, words: list[str], low: int, high: int) -> tuple[int, int, int] | None:
-        """Best local alignment of the template about a diagonal, with the words from low to high (excluded): matched words, first and
-        last word of the text."""
+        """Best local alignment of the template about a diagonal, with the words from low to high (excluded): matched words of the
+        template as bits, first and last word of the text."""
         template, band = self.templates[t][2], self.band
         best: tuple[int, int, int, int] | None = None
-        before: dict[int, tuple[int, int, int]] = {}  # by text word: score, matched, first word
+        before: dict[int, tuple[int, int, int]] = {}  # by text word: score, matched (bits), first word
         for p, w in enumerate(template):
             now: dict[int, tuple[int, int, int]] = {}
             for at in range(max(low, p + diagonal - band), min(high, p + diagonal + band + 1)):
                 s, m, first = before.get(at - 1, (0, 0, -1))
-                cell = (s + 1, m + 1, at if first < 0 else first) if words[at] == w else (s - 1, m, first)
+                cell = (s + 1, m | 1 << p, at if first < 0 else first) if words[at] == w else (s - 1, m, first)
                 for s, m, first in (before.get(at, (0, 0, -1)), now.get(at - 1, (0, 0, -1))):
                     if s - 1 > cell[0]:
                         cell = (s - 1, m, first)
                 if cell[0] > 0:
                     now[at] = cell
-                    if words[at] == w and (best is None or cell[:2] > best[:2]):
+                    if words[at] == w and (best is None or (cell[0], cell[1].bit_count()) > (best[0], best[1].bit_count())):
                         best = (*cell, at)
             before = now
         return None if best is None else (best[1], best[2], best[3])

@@ -35,6 +35,20 @@ def test_adjacent_repeats_are_all_found():
                     assert [r[4] for r in got] == [k * len(t + between) for k in range(times)]
 
 
+def test_neighbouring_licenses_are_told_apart():
+    s = licenses.Scanner()
+    names = lambda t: [r[0] for r in s.scan(f"Before it. {t} After it.")]
+    gpl, cc = "This work is licensed under the GNU {} License, version {}.", "This work is licensed under a Creative Commons Attribution{} {} International License."
+    assert names(gpl.format("General Public", 2)) == ["GPL-2.0"] and names(gpl.format("General Public", 3)) == ["GPL-3.0"]
+    assert names(gpl.format("Lesser General Public", 3)) == ["LGPL-3.0"] and names(gpl.format("General Public", 1)) == []
+    assert names("Creative Commons Attribution 4.0 International License") == []
+    assert names(gpl.format("Lesser General Public", 2)) == []
+    for middle, name in (("", "CC-BY-4.0"), ("-NonCommercial", "CC-BY-NC-4.0"), ("-ShareAlike", "CC-BY-SA-4.0"), ("-NonCommercial-ShareAlike", "CC-BY-NC-SA-4.0")):
+        assert names(cc.format(middle, "4.0")) == [name] and names(cc.format(middle, "3.0")) == []
+    assert names(licenses.TEMPLATES["BSD-3-Clause"][0]) == ["BSD-3-Clause"] and names(licenses.TEMPLATES["BSD-2-Clause"][0]) == ["BSD-2-Clause"]
+    assert names("Licensed under the Apache License, Version 1.1.") == [] and names("Released under the ISC License.") == ["ISC"]
+
+
 def test_brute_force_over_the_lines(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = sorted((r["doc_id"], r["license"], r["span_start"], r["span_end"]) for r in licenses.scan(docs).collect())
