@@ -6,7 +6,7 @@ its ``docs``.  All but the last return the columns of ``documents``."""
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmenta.llm import bpe, langid, linededup, mixing, simhash
@@ -30,10 +30,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that with the smallest id."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each near-duplicate group stays: that with the smallest id, a null one last; of documents with one id
+    that with the smallest hash of its text; of copies under one id the first by the other columns, so that one row stays of each group."""
+    is_null = F.col("doc_id").isNull()
+    place = F.struct(is_null.alias("is_null"), F.when(is_null, F.lit(0)).otherwise(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("h"))
+    placed = docs.withColumn("__place", place)
+    groups = simhash.near_duplicates(placed, key="__place")
+    first = groups.where(F.col("__place") == F.col("component_id")).select("__place").distinct()
+    copies = Window.partitionBy("__place").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    kept = placed.join(first, "__place", "left_semi").withColumn("__copy", F.row_number().over(copies))
+    return kept.where("__copy = 1").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

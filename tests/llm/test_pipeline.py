@@ -39,3 +39,11 @@ def test_stages_bear_odd_documents(spark, odd, none, tmp_path):
             path = str(tmp_path / f"{start}-{name}")
             stage(spark, docs, "").write.parquet(path)
             docs = spark.read.parquet(path)
+
+
+def test_one_row_of_each_group_stays_without_ids(spark):
+    texts = ["the quick brown fox jumps over the lazy dog", "entirely different words about rivers and mountains far away", "a third text that has nothing in common with those two"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[2]), (9, texts[2]), (None, texts[2]), (7, "unlike all others this one shares only its number")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), rows[-1]], key=str)
