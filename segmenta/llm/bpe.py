@@ -14,10 +14,12 @@ enters it.  The copies are kept as deltas: the state of ``w`` is the state of
 ``(label in, label out) -> rank``.  Whether state ``x`` has arc ``t`` is then
 read from the removals along the chain of ``x`` and the chain of ``t``.
 
-A word is encoded by carrying the one automaton state that each prefix of the
-word reaches (there is at most one, as the automaton accepts one tokenization
-of every string) through a trie of arc labels.  Decoding emits the label of
-every arc.  Words repeat, so their arcs are memoised, within a bound.
+Words are encoded by a table of transitions over symbols, filled as words need it.  Any prefix of a word has one tokenization
+(the automaton accepts one of every string), so what the rest of a word can still ask of the prefix is finite: its longest
+end that begins some label, and the label that enters the state before each symbol of that end.  That is a state of the
+table; a step leads to the one label that ends at the new symbol and has an arc from the state where it begins.  A word takes
+one look-up for each symbol, and its labels are then read off backwards.  Decoding emits the label of
+every arc.  Words repeat, so their ids are remembered, within a bound of bytes.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import bounded_batches
+from segmenta.llm.common import bounded_batches, tidied
 
-#: Runs of non-space characters, and transitions, that a worker remembers (twice as many at most).
-MEMO_WORDS = 200_000
+#: Bytes of remembered words that a worker holds (twice as many at most), and states of the table before it begins anew.
+MEMO_BYTES, TABLE_STATES = 32 << 20, 1 << 17
+#: Ends a word's spelling where the last symbol differs from others.
+END = "\0"
 #: Output characters after which a batch is handed on, so that long texts don't pile up.
 BATCH_BYTES = 8 << 20
 
@@ -63,8 +67,10 @@ class MergeAutomaton:
         self.removed: dict[tuple[str, str], int] = {}
         for rank, (u, v) in enumerate(merges):
             self._gadget(u, v, rank)
-        self.trie = self._trie([t for t in vocab if t not in self.dead])
-        self.go: dict[tuple[str, str], bool] = {}  # transitions looked up so far
+        self.spelled = {self.spelling(t): t for t in vocab if t not in self.dead}
+        #: What may be the end of a prefix that a later label goes on from.
+        self.begun = {x[:k] for x in self.spelled for k in range(len(x))}
+        self._empty_table()
 
     # -- compilation
     @functools.cached_property
@@ -97,84 +103,93 @@ class MergeAutomaton:
             x, x_born = self.right.get(x), born.get(x, -1)
         return True
 
-    def _trie(self, tokens: list[str]) -> dict:
-        """Nested tables: symbol to table, and None to the label that ends there."""
-        root: dict = {}
-        for t in tokens:
-            table = root
-            for s in self.symbols(t, whole=bool(self.suffix) and t.endswith(self.suffix)):
-                table = table.setdefault(s, {})
-            table[None] = t
-        return root
-
-    # -- use
-    def symbols(self, word: str, whole: bool = True) -> list[str]:
-        if not self.suffix or not whole:
-            return list(word)
-        word = word.removesuffix(self.suffix)
-        return [*word[:-1], word[-1:] + self.suffix]
-
-    def _from(self, symbols: list[str], at: int, state: str | None) -> list[tuple[str, int]]:
-        """The state's arcs that the next symbols spell, the longest last."""
-        table, found, go = self.trie, [], self.go
-        while at < len(symbols):
-            table = table.get(symbols[at])
-            if table is None:
-                break
-            at += 1
-            label = table.get(None)
-            if label is not None:
-                if state is not None:
-                    ok = go.get((state, label))
-                    if ok is None:
-                        if len(go) >= MEMO_WORDS:
-                            go.clear()
-                        ok = go[state, label] = self.has_arc(state, label)
-                    if not ok:
-                        continue
-                found.append((label, at))
+    def spelling(self, label: str) -> str:
+        """A label's symbols as characters; a word's last symbol is two, the second of them ``END``."""
+        return label.removesuffix(self.suffix) + END if self.suffix and label.endswith(self.suffix) else label
+
+    # -- the table of transitions over symbols
+    def _empty_table(self) -> None:
+        self.step: list[dict[str, int]] = [{}]  # by state: symbol to state
+        self.entered: list[tuple[str, int]] = [("", 0)]  # by state: the label that ends there, and its symbols
+        # by state, what it stands for: that label, an end of the prefix, and then by twos a place in it and what enters there
+        self.kept: list[tuple] = [("", "", 0, None)]
+        self.known: dict[tuple, int] = {self.kept[0]: 0}
+        self.looked_up: dict[tuple[str, str], bool] = {}
+
+    def _arc(self, state: str, label: str) -> bool:
+        found = self.looked_up.get((state, label))
+        if found is None:
+            if len(self.looked_up) >= TABLE_STATES:
+                self.looked_up.clear()
+            found = self.looked_up[state, label] = self.has_arc(state, label)
         return found
 
-    def arcs(self, word: str) -> list[str]:
-        """The labels of the one path that spells the word (in the byte alphabet).
+    def _transition(self, state: int, symbol: str) -> int:
+        """Add the state after ``symbol``: its label is the longest that has an arc (there is one at most)."""
+        kept = self.kept[state]
+        tail, label, open_, spelled, begun = kept[1] + symbol, "", [], self.spelled, self.begun
+        for j in range(2, len(kept), 2):
+            k, u = kept[j], kept[j + 1]
+            end = tail[k:]
+            if not label and (t := spelled.get(end)) is not None and (u is None or self._arc(u, t)):
+                label = t
+            if end in begun:
+                open_ += k, u
+        if label:
+            open_ += len(tail), label
+        if open_ and (first := open_[0]):
+            open_[::2] = [k - first for k in open_[::2]]
+            tail = tail[first:]
+        found = (label, tail if open_ else "", *open_)
+        to = self.known.get(found)
+        if to is None:
+            to = self.known[found] = len(self.step)
+            self.step.append({})
+            self.entered.append((label, len(self.spelling(label))))
+            self.kept.append(found)
+        self.step[state][symbol] = to
+        return to
 
-        Long arcs are tried first.  As any prefix has one path, a position that fails
-        once fails for good, and the search is linear in the word."""
+    def arcs(self, word: str) -> list[str]:
+        """The labels of the one path that spells the word (in the byte alphabet)."""
         if not word:
             return []
-        symbols = self.symbols(word)
-        n, out, failed = len(symbols), [], set()
-        open_arcs = [self._from(symbols, 0, None)]
-        while open_arcs:
-            if not open_arcs[-1]:
-                open_arcs.pop()
-                if out:
-                    failed.add(out.pop()[1])
-                continue
-            label, at = open_arcs[-1].pop()
-            if at in failed:
-                continue
-            out.append((label, at))
-            if at == n:
-                return [t for t, _ in out]
-            open_arcs.append(self._from(symbols, at, label))
-        raise ValueError("a symbol of the word is not in the vocabulary")
+        if len(self.step) > TABLE_STATES:
+            self._empty_table()
+        spelled = word + END if self.suffix else word
+        step, state, path = self.step, 0, []
+        for c in spelled:
+            to = step[state].get(c)
+            state = to if to is not None else self._transition(state, c)
+            path.append(state)
+        out, at, entered = [], len(path), self.entered
+        while at:
+            label, n = entered[path[at - 1]]
+            if not n:
+                raise ValueError("a symbol of the word is not in the vocabulary")
+            out.append(label)
+            at -= n
+        return out[::-1]
 
 
 class Memo(dict):
-    """A table that makes what it lacks, of at most ``2 * size`` entries: when full it becomes
+    """A table that makes what it lacks.  Of at most twice ``size`` bytes, about: when full it becomes
     the old half, so what recurs stays.  Long keys aren't kept."""
 
-    def __init__(self, make, size: int = MEMO_WORDS, longest: int = 64):
+    #: Bytes of an entry beside its characters and bytes.
+    ENTRY = 200
+
+    def __init__(self, make, size: int = MEMO_BYTES, longest: int = 64):
         super().__init__()
-        self.make, self.size, self.longest, self.old = make, size, longest, {}
+        self.make, self.size, self.longest, self.old, self.used = make, size, longest, {}, 0
 
     def __missing__(self, key):
         if (value := self.old.get(key)) is None:
             value = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= self.size:
-                self.old = dict(self)
+            self.used += len(key) + len(value) + self.ENTRY
+            if self.used > self.size:
+                self.old, self.used = dict(self), 0
                 self.clear()
             self[key] = value
         return value
@@ -197,7 +212,9 @@ class WordTokenizer:
         merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
         self.automaton = MergeAutomaton(model["vocab"], merges, model["end_of_word_suffix"] or "")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        #: Characters that every special token has: a text without one of them has no special token.
+        self.marks = sorted(set.intersection(*map(set, self.special)), key=ord)[-2:] if self.special else []
         #: Characters that str.split takes for white space and the pattern doesn't.
         self.odd_space = regex.compile(r"[\x1c-\x1f]")
         self.space = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -220,7 +237,7 @@ class WordTokenizer:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if "<|" in text and (parts := self.special_split.split(text))[1:]:
+        if self.special_split and all(x in text for x in self.marks) and (parts := self.special_split.split(text))[1:]:
             return b"".join([self.special[p].to_bytes(4, "little") if k % 2 else self.encode(p) for k, p in enumerate(parts)])
         chunks = self.space.split(text) if self.odd_space.search(text) else text.split()
         return b"".join(map(self.chunks.__getitem__, chunks))
@@ -251,18 +268,32 @@ def labels(path: str) -> Labels:
     return Labels(path)
 
 
-def _batches(rows: Iterator[pa.RecordBatch], make, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """``make(value)`` over the last column; hands on a batch as soon as it is large."""
+def _batches(rows: Iterator[pa.RecordBatch], make, size, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of the first column and the values that ``make`` gives for the second; handed on as soon as ``size`` of them is large."""
     for batch in rows:
-        start, size, made = 0, 0, []
-        values = batch.column(batch.num_columns - 1)
+        start, used, made = 0, 0, []
+        keys, values = batch.column(0), batch.column(1)
         for k in range(batch.num_rows):
             made.append(make(values[k].as_py()))
-            size += len(made[-1])
-            if size >= BATCH_BYTES or k == batch.num_rows - 1:
-                keep = [batch.column(c).slice(start, k + 1 - start) for c in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(made, types[-1])], names)
-                start, size, made = k + 1, 0, []
+            used += size(made[-1])
+            if used >= BATCH_BYTES or k == batch.num_rows - 1:
+                cols = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([keys.slice(start, k + 1 - start), *(pa.array(c, f.type) for c, f in zip(cols, schema, strict=True))], ["key", *schema.names])
+                start, used, made = k + 1, 0, []
+
+
+_BOTH = pa.schema([("ids", pa.binary()), ("decoded", pa.string())])
+
+
+def _run(docs: DataFrame, key: str, value, kind: str, start, schema: str) -> DataFrame:
+    """``start()`` gives a worker's batches from rows of key and value."""
+    bounded_batches(docs.sparkSession)
+
+    def run(rows):
+        return tidied(start(rows))
+
+    key_kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), value.cast(kind).alias("value")).mapInArrow(run, f"key {key_kind}, {schema}")
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", out: str = "ids") -> DataFrame:
@@ -270,15 +301,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     Null and empty texts give empty ids; a null key is kept; repeated rows are kept as
     often as they come; columns other than the two named are not looked at, so they may
-    have any name.  No shuffle; memory is bounded by one Arrow batch and the memo."""
+    have any name.  No shuffle; memory is bounded by one Arrow batch, the remembered words and the table."""
 
-    def run(rows):
+    def start(rows):
         t = tokenizer(path)
-        return _batches(rows, t.encode, ["key", "ids"], [None, pa.binary()])
+        return _batches(rows, lambda x: (t.encode(x),), lambda x: len(x[0]), pa.schema([_BOTH.field("ids")]))
 
-    bounded_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    made = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids binary")
+    made = _run(docs, key, F.col(text), "string", start, "ids binary")
     return made.select(F.col("key").alias(key), F.col("ids").alias(out))
 
 
@@ -287,26 +316,27 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids",
 
     Null ids decode to the empty text.  An id without a label is an error."""
 
-    def run(rows):
+    def start(rows):
         t = labels(path)
+        return _batches(rows, lambda x: (x, t.decode(x)), lambda x: len(x[1]), _BOTH)
+
+    made = _run(encoded, key, F.col(ids), "binary", start, "ids binary, decoded string")
+    return made.select(F.col("key").alias(key), F.col("ids").alias(ids), F.col("decoded").alias(out))
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``decode`` of ``encode`` in one worker: ``key``, the ids, and the text that they decode to.  Rows as in ``encode``."""
+
+    def start(rows):
+        t, u = tokenizer(path), labels(path)
+
+        def make(x):
+            found = t.encode(x)
+            return found, u.decode(found)
+
+        return _batches(rows, make, lambda x: len(x[0]) + len(x[1]), _BOTH)
 
-        def with_ids(rows):
-            for batch in rows:
-                start, size, made = 0, 0, []
-                col = batch.column(1)
-                for k in range(batch.num_rows):
-                    made.append(t.decode(col[k].as_py()))
-                    size += len(made[-1])
-                    if size >= BATCH_BYTES or k == batch.num_rows - 1:
-                        part = slice(start, k + 1)
-                        yield pa.RecordBatch.from_arrays([batch.column(0)[part], col[part], pa.array(made, pa.string())], ["key", "ids", "decoded"])
-                        start, size, made = k + 1, 0, []
-
-        return with_ids(rows)
-
-    bounded_batches(encoded.sparkSession)
-    kind = encoded.schema[key].dataType.simpleString()
-    made = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, ids binary, decoded string")
+    made = _run(docs, key, F.col(text), "string", start, "ids binary, decoded string")
     return made.select(F.col("key").alias(key), F.col("ids").alias(ids), F.col("decoded").alias(out))
 
 

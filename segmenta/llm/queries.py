@@ -14,7 +14,7 @@ from segmenta.llm.common import read_table
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.digests(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.round_trip(read_table(spark, sf_dir, "documents"), path))
 
 
 def op2_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:

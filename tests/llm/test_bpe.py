@@ -70,3 +70,26 @@ def test_rows(odd, none, small, library):
             want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
         assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
     assert bpe.digests(bpe.decode(bpe.encode(none, PATH), PATH)).count() == 0
+
+
+def test_round_trip_is_decode_of_encode(spark, odd, none, small):
+    for docs in (odd, none, small):
+        want = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
+        assert sorted(map(str, bpe.round_trip(docs, PATH).collect())) == sorted(map(str, want))
+
+
+def test_the_table_is_rebuilt_within_its_bound(monkeypatch):
+    t, want = bpe.WordTokenizer(PATH), bpe.WordTokenizer(PATH)
+    monkeypatch.setattr(bpe, "TABLE_STATES", 50)
+    words = [f"{a}{b}ing" for a in ("th", "é", "qu", "zz") for b in ("an", "oi", "ell", "日")]
+    got = [t.automaton.arcs("".join(t.alphabet[x] for x in w.encode())) for w in words * 3]
+    monkeypatch.setattr(bpe, "TABLE_STATES", 1 << 20)
+    assert got == [want.automaton.arcs("".join(t.alphabet[x] for x in w.encode())) for w in words * 3]
+    assert len(t.automaton.step) < 150
+
+
+def test_memo_stays_within_its_bytes():
+    m = bpe.Memo(lambda k: k.encode(), size=10_000)
+    for k in range(1000):
+        assert m[f"w{k % 300}"] == f"w{k % 300}".encode()
+    assert len(m) + len(m.old) <= 100
