@@ -60,8 +60,9 @@ def split_long(c: Column, limit: int) -> Column:
     return F.when(count_tokens(c) <= limit, F.array(c)).otherwise(F.transform(F.regexp_extract_all(c, F.lit(piece), F.lit(0)), strip))
 
 
-def limited_sentences(c: Column, limit: int, regex: str = SENTENCE) -> Column:
-    return F.flatten(F.transform(sentences(c, regex), lambda s: split_long(s, limit)))
+def limited_sentences(c: Column, limit: int, regex: str = SENTENCE, tokenizer=None) -> Column:
+    cut = tokenizer.split_long if tokenizer else split_long
+    return F.flatten(F.transform(sentences(c, regex), lambda s: cut(s, limit)))
 
 
 def prefix(c: Column, n: int = 100) -> Column:

@@ -1,10 +1,16 @@
 """Semantic chunking: merged sentences, context groups, neighbour distances, chunks.
 
-The sequential rules are folds over one document's integers (``F.aggregate``); texts aren't touched by them."""
+The sequential rules are folds over one document's integers, in Arrow batches; texts aren't touched by them.  A document's sentences stay
+one row until they are cut into tokens or chunks, and what leaves that row is sliced before it is exploded, so work is linear in the text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmenta.config import SemanticConfig
@@ -12,167 +18,242 @@ from segmenta.functions import text as T
 from segmenta.functions import vectors as V
 from segmenta.operators import pooling
 
-_SPANS = "array<struct<a:int,b:int,n:int>>"
+LOG = logging.getLogger("segmenta")
+
+
+def traced(step: str, df: DataFrame) -> DataFrame:
+    """``df``; where the logger "segmenta" is at DEBUG, its schema and plan are logged under the step's name."""
+    if LOG.isEnabledFor(logging.DEBUG):
+        LOG.debug("%s: %s\n%s", step, df.schema.simpleString(), df._jdf.queryExecution().toString())
+    return df
+
+
+def _fold(make: Callable, types: dict[str, pa.DataType], *args: Column) -> Column:
+    """``array<struct>`` of the columns that ``make(lists)`` gives for each row; null for a null list."""
+    names = {pa.int32(): "int", pa.float64(): "double"}
+
+    @F.arrow_udf("array<struct<" + ",".join(f"{k}:{names[t]}" for k, t in types.items()) + ">>")
+    def run(*lists: pa.Array) -> pa.Array:
+        rows = [None if None in row else make(*row) for row in zip(*(x.to_pylist() for x in lists), strict=True)]
+        flat = [[x[k] for row in rows for x in row or ()] for k in range(len(types))]
+        items = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, types.values(), strict=True)], list(types))
+        offsets = np.concatenate([[0], np.cumsum([len(row or ()) for row in rows])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), items, mask=pa.array([row is None for row in rows]))
+
+    return run(*args)
+
+
+_RUN = {"a": pa.int32(), "b": pa.int32(), "n": pa.int32()}
+
+
+def merge_runs(sizes: list[int], least: int, most: int) -> list[tuple[int, int, int]]:
+    """Runs (a, b, n): sentences [a, b) with n tokens."""
+    out, start, n = [], 0, 0
+    for i, c in enumerate(sizes):
+        if n + c > most:
+            if i > start:
+                out.append((start, i, n))
+            start, n = i, 0
+        n += c
+        if n >= least:
+            out.append((start, i + 1, n))
+            start, n = i + 1, 0
+    return out if start == len(sizes) else [*out, (start, len(sizes), n)]
 
 
 def merged_spans(counts: Column, least: int, most: int) -> Column:
     """``array<struct<a, b, n>>``: runs [a, b) of sentences with n tokens.  A run ends when it has ``least`` tokens, or before a
     sentence that would take it over ``most``; what is left at the end is a run.  Counts are at most ``most``."""
-    init = F.struct(F.array().cast(_SPANS).alias("out"), F.lit(0).alias("start"), F.lit(0).alias("n"))
-    run = lambda a, b, n: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), n.cast("int").alias("n")))
-    none = F.array().cast(_SPANS)
+    return _fold(lambda sizes: merge_runs(sizes, least, most), _RUN, counts)
 
-    def step(s, x):
-        i, c = x["i"], x["c"]
-        full = s["n"] + c > most
-        start, n = F.when(full, i).otherwise(s["start"]), F.when(full, F.lit(0)).otherwise(s["n"]) + c
-        out = F.concat(s["out"], F.when(full & (i > s["start"]), run(s["start"], i, s["n"])).otherwise(none))
-        done = n >= least
-        out = F.concat(out, F.when(done, run(start, i + 1, n)).otherwise(none))
-        return F.struct(out.alias("out"), F.when(done, i + 1).otherwise(start).cast("int").alias("start"), F.when(done, F.lit(0)).otherwise(n).cast("int").alias("n"))
 
-    def finish(s):
-        return F.concat(s["out"], F.when(s["start"] < F.size(counts), run(s["start"], F.size(counts), s["n"])).otherwise(none))
+def _merged(counts: Column, least: int, most: int) -> Column:
+    """``merged_spans`` with ``t``, the tokens before each run."""
 
-    return F.aggregate(F.transform(counts, lambda c, i: F.struct(i.cast("int").alias("i"), c.cast("int").alias("c"))), init, step, finish)
+    def make(sizes):
+        runs = merge_runs(sizes, least, most)
+        before = np.cumsum([0, *(n for _, _, n in runs)]).tolist()
+        return [(*r, t) for r, t in zip(runs, before[:-1], strict=True)]
 
+    return _fold(make, _RUN | {"t": pa.int32()}, counts)
 
-def merged_sentences(docs: DataFrame, config: SemanticConfig | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, sent, text, n_tokens, t_start, t_end)``: sentences merged to at least ``sentence_min`` tokens, with spans of
-    tokens of the joined text."""
+
+def sentence_arrays(docs: DataFrame, config: SemanticConfig | None = None, key: str = "doc_id", text: str = "text", tokenizer=None) -> DataFrame:
+    """A row for each document that has a sentence: ``s: array<struct<sent, text, n_tokens, t_start, t_end>>``, its sentences merged to at
+    least ``sentence_min`` tokens, with spans of tokens of the joined text.  No shuffle."""
     c = config or SemanticConfig()
-    d = docs.select(key, T.limited_sentences(F.col(text), c.sentence_max).alias("s")).where(F.size("s") > 0)
-    d = d.withColumn("m", merged_spans(F.transform("s", T.count_tokens), c.sentence_min, c.sentence_max))
-    d = d.select(key, "s", F.posexplode("m").alias("sent", "x"), "m")
-    before = F.aggregate(F.slice("m", F.lit(1), F.col("sent")), F.lit(0), lambda t, x: t + x["n"])
-    d = d.withColumn("t_start", before)
-    joined = F.array_join(F.slice("s", F.col("x.a") + 1, F.col("x.b") - F.col("x.a")), " ")
-    return d.select(key, "sent", joined.alias("text"), F.col("x.n").alias("n_tokens"), "t_start", (F.col("t_start") + F.col("x.n")).alias("t_end"))
+    size = tokenizer.count if tokenizer else T.count_tokens
+    d = docs.select(key, T.limited_sentences(F.col(text), c.sentence_max, tokenizer=tokenizer).alias("s"))
+    d = d.withColumn("m", _merged(F.transform("s", size), c.sentence_min, c.sentence_max))
+    made = F.transform("m", lambda x, i: F.struct(i.cast("int").alias("sent"), F.array_join(F.slice("s", x["a"] + 1, x["b"] - x["a"]), " ").alias("text"), x["n"].alias("n_tokens"), x["t"].alias("t_start"), (x["t"] + x["n"]).alias("t_end")))
+    return traced("sentence_arrays", d.select(key, made.alias("s")).where(F.size("s") > 0))
+
+
+def merged_sentences(docs: DataFrame, config: SemanticConfig | None = None, key: str = "doc_id", text: str = "text", tokenizer=None) -> DataFrame:
+    """``(key, sent, text, n_tokens, t_start, t_end)``: a row for each of the sentences of ``sentence_arrays``."""
+    return sentence_arrays(docs, config, key, text, tokenizer).select(key, F.inline("s"))
 
 
 def sentence_lists(merged: DataFrame, key: str = "doc_id") -> DataFrame:
     """A row for each document: its sentences in order, ``s: array<struct<sent, text, n_tokens, t_start, t_end>>``."""
+    if "s" in merged.columns:
+        return merged
     return merged.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sent", "text", "n_tokens", "t_start", "t_end"))).alias("s"))
 
 
 def group_spans(counts: Column, limit: int, overlap: int) -> Column:
     """``array<struct<a, b, n>>``: groups of sentences [a, b) of at most ``limit`` tokens before the overlap, and the n tokens that the
     next group repeats: the whole sentences at the end that fit ``overlap``."""
-    init = F.struct(F.array().cast(_SPANS).alias("out"), F.lit(0).alias("g"), F.lit(0).alias("cur"))
-
-    def step(s, x):
-        i, n = x["i"], x["c"]
-        close = (s["cur"] + n > limit) & (i > s["g"])
-        tail = F.aggregate(  # the trailing sentences, backwards, while they fit
-            F.reverse(F.slice(counts, s["g"] + 1, i - s["g"])),
-            F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("on")),
-            lambda t, c: F.when(t["on"] & (t["n"] + c <= overlap), F.struct((t["k"] + 1).alias("k"), (t["n"] + c).cast("int").alias("n"), F.lit(True).alias("on"))).otherwise(
-                F.struct(t["k"].alias("k"), t["n"].alias("n"), F.lit(False).alias("on"))
-            ),
-        )
-        closed = F.struct(
-            F.concat(s["out"], F.array(F.struct(s["g"].alias("a"), i.alias("b"), tail["n"].alias("n")))).alias("out"), (i - tail["k"]).cast("int").alias("g"), (tail["n"] + n).cast("int").alias("cur")
-        )
-        return F.when(close, closed).otherwise(F.struct(s["out"].alias("out"), s["g"].alias("g"), (s["cur"] + n).cast("int").alias("cur")))
-
-    def finish(s):
-        return F.concat(s["out"], F.array(F.struct(s["g"].alias("a"), F.size(counts).alias("b"), F.lit(0).alias("n"))))
-
-    made = F.aggregate(F.transform(counts, lambda c, i: F.struct(i.cast("int").alias("i"), c.cast("int").alias("c"))), init, step, finish)
-    return F.when(F.size(counts) > 0, made).otherwise(F.array().cast(_SPANS))
 
+    def make(sizes):
+        out, g, now = [], 0, 0
+        for i, c in enumerate(sizes):
+            if now + c > limit and i > g:
+                k, n = i, 0
+                while k > g and n + sizes[k - 1] <= overlap:
+                    k -= 1
+                    n += sizes[k]
+                out.append((g, i, n))
+                g, now = k, n
+            now += c
+        return [*out, (g, len(sizes), 0)] if sizes else out
 
-def context_groups(merged: DataFrame, config: SemanticConfig | None = None, key: str = "doc_id") -> DataFrame:
-    """``(key, group_id, first, last, text, overlap_next, t_start, t_end, own_from, own_to)``: what a group owns ends in the middle of an
-    overlap, so every token has one owner."""
-    c = config or SemanticConfig()
+    return _fold(make, _RUN, counts)
+
+
+def _groups(merged: DataFrame, c: SemanticConfig, key: str) -> DataFrame:
+    """``(key, s, g)`` with ``g: array<struct<group_id, a, b, n, t_start, t_end, own_from, own_to>>``."""
     d = sentence_lists(merged, key).withColumn("g", group_spans(F.col("s.n_tokens"), c.group_limit, c.group_overlap))
-    d = d.select(key, "s", "g", F.posexplode("g").alias("group_id", "x"))
-    t0 = lambda x: F.get(F.col("s.t_start"), x["a"])
-    t1 = lambda x: F.get(F.col("s.t_end"), x["b"] - 1)
-    x, prev, nxt = F.col("x"), F.get("g", F.col("group_id") - 1), F.get("g", F.col("group_id") + 1)
+    t0, t1 = lambda x: F.get("s", x["a"])["t_start"], lambda x: F.get("s", x["b"] - 1)["t_end"]
     middle = lambda left, right: F.floor((t0(right) + t1(left) + 1) / 2).cast("int")
-    return d.select(
-        key,
-        "group_id",
-        F.col("x.a").alias("first"),
-        (F.col("x.b") - 1).alias("last"),
-        F.array_join(F.slice(F.col("s.text"), F.col("x.a") + 1, F.col("x.b") - F.col("x.a")), " ").alias("text"),
-        F.col("x.n").alias("overlap_next"),
-        t0(x).alias("t_start"),
-        t1(x).alias("t_end"),
-        F.when(F.col("group_id") == 0, t0(x)).otherwise(middle(prev, x)).alias("own_from"),
-        F.when(F.col("group_id") == F.size("g") - 1, t1(x)).otherwise(middle(x, nxt)).alias("own_to"),
-    )
-
-
-def group_token_frame(merged: DataFrame, embedder, config: SemanticConfig | None = None, key: str = "doc_id", normalize: bool = True) -> DataFrame:
-    """``(key, group_id, pos, token, embedding)``: tokens of the joined sentences, embedded group by group (a slice is a
-    group) and taken from the group that owns them; unit vectors (clamped)."""
-    groups = context_groups(merged, config, key)
-    t = groups.select(key, "group_id", "t_start", "own_from", "own_to", F.posexplode(T.token_texts(F.col("text"))).alias("j", "token"))
-    t = t.withColumn("pos", (F.col("t_start") + F.col("j")).cast("int"))
+    last = F.size("g") - 1
+
+    def one(x, i):
+        start = F.when(i == 0, t0(x)).otherwise(middle(F.get("g", i - 1), x))
+        end = F.when(i == last, t1(x)).otherwise(middle(x, F.get("g", i + 1)))
+        return F.struct(i.cast("int").alias("group_id"), x["a"].alias("a"), x["b"].alias("b"), x["n"].alias("n"), t0(x).alias("t_start"), t1(x).alias("t_end"), start.alias("own_from"), end.alias("own_to"))
+
+    return d.select(key, "s", F.transform("g", one).alias("g"))
+
+
+def _sentences_of(x: Column) -> Column:
+    return F.slice("s", x["a"] + 1, x["b"] - x["a"])
+
+
+def context_groups(merged: DataFrame, config: SemanticConfig | None = None, key: str = "doc_id") -> DataFrame:
+    """``(key, group_id, first, last, text, overlap_next, t_start, t_end, own_from, own_to)``: what a group owns ends in the middle of an
+    overlap, so every token has one owner.  ``merged``: rows of ``merged_sentences``, or ``sentence_arrays``, which needs no shuffle."""
+    rows = F.transform("g", lambda x: F.struct(x["group_id"].alias("group_id"), x["a"].alias("first"), (x["b"] - 1).alias("last"), F.array_join(_sentences_of(x)["text"], " ").alias("text"), x["n"].alias("overlap_next"), *[x[k].alias(k) for k in ("t_start", "t_end", "own_from", "own_to")]))
+    names = ["group_id", "first", "last", "text", "overlap_next", "t_start", "t_end", "own_from", "own_to"]
+    d = _groups(merged, config or SemanticConfig(), key).select(key, F.explode(rows).alias("x"))
+    return traced("context_groups", d.select(key, *[F.col("x")[k].alias(k) for k in names]))
+
+
+def group_token_frame(merged: DataFrame, embedder, config: SemanticConfig | None = None, key: str = "doc_id", normalize: bool = False, tokenizer=None) -> DataFrame:
+    """``(key, group_id, sent, pos, token, text, embedding)``: tokens of the sentences, embedded group by group (a slice is a
+    group) and taken from the group that owns them; ``normalize``: as unit vectors (clamped).  A sentence's text is on its first token."""
+    cut = tokenizer.tokens if tokenizer else T.token_texts
+    rows = F.transform("g", lambda x: F.struct(x["group_id"].alias("group_id"), x["own_from"].alias("own_from"), x["own_to"].alias("own_to"), _sentences_of(x).alias("sentences")))
+    d = _groups(merged, config or SemanticConfig(), key).select(key, F.explode(rows).alias("x")).select(key, "x.*")
+    d = d.select(key, "group_id", "own_from", "own_to", F.explode("sentences").alias("x"))
+    d = d.select(key, "group_id", "own_from", "own_to", F.col("x.sent").alias("sent"), F.col("x.t_start").alias("t_start"), F.col("x.text").alias("whole"))
+    # a token's text goes with the first token alone, cut out before the explosion
+    tokens = F.transform(cut(F.col("whole")), lambda t, j: F.struct((F.col("t_start") + j).cast("int").alias("pos"), t.alias("token"), F.when(j == 0, F.col("whole")).alias("text")))
+    t = d.select(key, "group_id", "own_from", "own_to", "sent", F.explode(tokens).alias("x")).select(key, "group_id", "own_from", "own_to", "sent", "x.*")
     t = embedder.embed(t, [key, "group_id"]).where("pos >= own_from and pos < own_to")
     e = V.normalize(F.col("embedding"), "clamp") if normalize else F.col("embedding")
-    return t.select(key, "group_id", "pos", "token", e.alias("embedding"))
+    return traced("group_token_frame", t.select(key, "group_id", "sent", "pos", "token", "text", e.alias("embedding")))
+
+
+_SIDES = ("own", "current", "previous", "next")
+
+
+def _frames(w, c: SemanticConfig) -> dict:
+    """The sentences of each side, as frames about a sentence."""
+    k, size = c.num_neighbors, c.current_chunk_size
+    return {"own": w.rowsBetween(0, 0), "current": w.rowsBetween(0, size - 1), "previous": w.rowsBetween(-k, -1), "next": w.rowsBetween(size, size + k - 1)}
+
+
+_PARTIAL = {"mean": (F.sum, F.sum), "sum": (F.sum, F.sum), "max": (F.max, F.max), "min": (F.min, F.min)}
+
+
+def _sides_by_frames(tokens: DataFrame, dim: int, c: SemanticConfig, key: str) -> DataFrame:
+    """``(key, sent, current_text, n_tokens, own, current, previous, next)`` from a frame of ``group_token_frame``: each sentence's tokens are
+    added up once, and the sides are frames over these sums."""
+    first, again = _PARTIAL[c.pooling]
+    w = Window.partitionBy(key).orderBy("sent")
+    frames = _frames(w, c)
+    count = F.count(F.lit(1)).alias("n_tokens")
+    joined = F.array_join(F.collect_list("text").over(frames["current"]), " ").alias("current_text")
+    if dim <= pooling.WIDE:
+        x = lambda d: F.get("embedding", F.lit(d)).cast("double")
+        by = tokens.groupBy(key, "sent").agg(count, F.max("text").alias("text"), *[first(x(d)).alias(f"_{d}") for d in range(dim)])
+
+        def side(over):
+            n = F.sum("n_tokens").over(over) if c.pooling == "mean" else F.lit(1)
+            return F.when(F.count(F.lit(1)).over(over) > 0, F.array(*[again(f"_{d}").over(over) / n for d in range(dim)]))
+
+        return by.select(key, "sent", joined, F.col("n_tokens").cast("int").alias("n_tokens"), *[side(over).alias(name) for name, over in frames.items()])
+    texts = tokens.groupBy(key, "sent").agg(count, F.max("text").alias("text")).select(key, "sent", joined, F.col("n_tokens").cast("int").alias("n_tokens"))
+    long = tokens.select(key, "sent", F.posexplode("embedding").alias("d", "x")).groupBy(key, "sent", "d").agg(first(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
+    own = _frames(Window.partitionBy(key, "d").orderBy("sent"), c)
+    long = long.select(key, "sent", "d", *[(again("x").over(o) / (F.sum("n").over(o) if c.pooling == "mean" else F.lit(1))).alias(name) for name, o in own.items()])
+    all_ = F.array_sort(F.collect_list(F.struct("d", *_SIDES)))
+    by = long.groupBy(key, "sent").agg(all_.alias("all")).select(key, "sent", *[F.when(F.get(F.col("all")[s], F.lit(0)).isNotNull(), F.col("all")[s]).alias(s) for s in _SIDES])
+    return texts.join(by, [key, "sent"])
+
+
+def _sides_by_spans(merged: DataFrame, tokens: DataFrame, dim: int, c: SemanticConfig, key: str) -> DataFrame:
+    """The same for any token frame and any pooling: spans of each side, pooled over all their tokens."""
+    k, size = c.num_neighbors, c.current_chunk_size
+    d = sentence_lists(merged, key)
+    n = F.size("s")
+
+    def sides(x, i):
+        span = lambda name, a, b: F.struct(F.lit(name).alias("side"), F.get("s", a)["t_start"].alias("start"), F.get("s", b - 1)["t_end"].alias("end"))
+        end = F.least(n, i + size)
+        all_ = F.array(span("own", i, i + 1), span("current", i, end), F.when(i > 0, span("previous", F.greatest(F.lit(0), i - k), i)), F.when(i + size < n, span("next", i + size, F.least(n, i + size + k))))
+        return F.struct(i.cast("int").alias("sent"), F.array_join(F.slice("s", i + 1, end - i)["text"], " ").alias("current_text"), x["n_tokens"].alias("n_tokens"), F.filter(all_, lambda y: y.isNotNull()).alias("sides"))
+
+    d = d.select(key, F.inline(F.transform("s", sides)))
+    spans = d.select(key, "sent", F.explode("sides").alias("x")).select(key, "sent", "x.*")
+    pooled = pooling.pool_spans(tokens, spans, dim, c.pooling, key, ["sent", "side"])
+    by = pooled.groupBy(key, "sent").agg(*[F.max(F.when(F.col("side") == s, F.col("embedding"))).alias(s) for s in _SIDES])
+    return d.drop("sides").join(by, [key, "sent"])
 
 
 def sentence_distances(merged: DataFrame, tokens: DataFrame, dim: int, config: SemanticConfig | None = None, key: str = "doc_id", digits: int = 9) -> DataFrame:
     """A row for each sentence: ``prev_distance`` from the k sentences before to the current ones, ``next_distance`` from these to the k
     after, null where there are none; their ``ratio``; and the sentence's own vector.  Sides are pooled over all their tokens.
 
+    Frames of ``group_token_frame`` are summed by sentence; others, and medians, go by spans of tokens.
     Distances are rounded to ``digits`` decimals: between equal sides they are rounding noise, whose ratio means nothing."""
     c = config or SemanticConfig()
-    k, size = c.num_neighbors, c.current_chunk_size
-    d = sentence_lists(merged, key)
-    n = F.size("s")
-    d = d.select(key, "s", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("sent"))
-    i = F.col("sent")
-    start, end = lambda x: F.get(F.col("s.t_start"), x), lambda x: F.get(F.col("s.t_end"), x - 1)
-    side = lambda name, a, b: F.struct(F.lit(name).alias("side"), start(a).alias("start"), end(b).alias("end"))
-    current_end = F.least(F.col("n"), i + size)
-    sides = F.array(
-        side("own", i, i + 1),
-        side("current", i, current_end),
-        F.when(i > 0, side("previous", F.greatest(F.lit(0), i - k), i)),
-        F.when(i + size < F.col("n"), side("next", i + size, F.least(F.col("n"), i + size + k))),
-    )
-    spans = d.select(key, "sent", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("x")).select(key, "sent", "x.*")
-    pooled = pooling.pool_spans(tokens, spans, dim, c.pooling, key, ["sent", "side"])
-    by = pooled.groupBy(key, "sent").agg(*[F.max(F.when(F.col("side") == s, F.col("embedding"))).alias(s) for s in ("own", "current", "previous", "next")])
+    framed = c.pooling in _PARTIAL and {"sent", "text"} <= set(tokens.columns)
+    by = _sides_by_frames(tokens, dim, c, key) if framed else _sides_by_spans(merged, tokens, dim, c, key)
     metric = lambda u, v: F.when(u.isNotNull() & v.isNotNull(), F.round(V.distance(u, v, c.metric, V.SPAN_METRICS), digits) + F.lit(0.0))
     by = by.withColumn("prev_distance", metric(F.col("previous"), F.col("current"))).withColumn("next_distance", metric(F.col("current"), F.col("next")))
     by = by.withColumn("ratio", V.ratio(F.col("prev_distance"), F.col("next_distance")))
-    texts = d.select(key, "sent", F.array_join(F.slice(F.col("s.text"), i + 1, current_end - i), " ").alias("current_text"), F.get(F.col("s.n_tokens"), i).alias("n_tokens"))
-    return texts.join(by.select(key, "sent", "prev_distance", "next_distance", "ratio", F.col("own").alias("embedding")), [key, "sent"])
-
-
-_CHUNKS = "array<struct<a:int,b:int,start_ratio:double>>"
+    return traced("sentence_distances", by.select(key, "sent", "current_text", "n_tokens", "prev_distance", "next_distance", "ratio", F.col("own").alias("embedding")))
 
 
 def chunk_spans(items: Column, c: SemanticConfig) -> Column:
     """``array<struct<a, b, start_ratio>>`` from ``array<struct<t, r>>``: chunks of sentences a to b, both in.  A sentence is
     taken in first; then a large ratio, or enough tokens with a middling ratio or too many tokens, ends the chunk, and the next
-    begins with this sentence again (or after it)."""
-    init = F.struct(F.array().cast(_CHUNKS).alias("out"), F.lit(0).alias("a"), F.lit(0).cast("long").alias("t"), F.lit(None).cast("double").alias("r"))
-
-    def step(s, x):
-        i, tokens, r = x["i"], x["t"], x["r"]
-        number = ~F.isnan(r)  # NaN is in no order with a threshold
-        total = s["t"] + tokens
-        hard = F.coalesce(number & (r >= c.hard_ratio), F.lit(False))
-        soft = (total >= c.soft_min_tokens) & ((total >= c.max_tokens) | F.coalesce(number & (r > c.min_ratio), F.lit(False)))
-        out = F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), i.alias("b"), s["r"].alias("start_ratio"))))
-        again = F.lit(0 if c.repeat_boundary else 1)
-        split = F.struct(out.alias("out"), (i + again).cast("int").alias("a"), F.when(F.lit(c.repeat_boundary), tokens).otherwise(F.lit(0)).cast("long").alias("t"), r.alias("r"))
-        return F.when(hard | soft, split).otherwise(F.struct(s["out"].alias("out"), s["a"].alias("a"), total.cast("long").alias("t"), s["r"].alias("r")))
+    begins with this sentence again (or after it).  NaN is in no order with a threshold."""
 
-    def finish(s):
-        rest = F.array(F.struct(s["a"].alias("a"), (F.size(items) - 1).alias("b"), s["r"].alias("start_ratio")))
-        return F.when(s["a"] < F.size(items), F.concat(s["out"], rest)).otherwise(s["out"])
+    def make(tokens, ratios):
+        out, a, total, start = [], 0, 0, None
+        for i, (t, r) in enumerate(zip(tokens, ratios, strict=True)):
+            total += t
+            hard, middling = r is not None and r >= c.hard_ratio, r is not None and r > c.min_ratio
+            if hard or (total >= c.soft_min_tokens and (total >= c.max_tokens or middling)):
+                out.append((a, i, start))
+                a, total, start = (i, t, r) if c.repeat_boundary else (i + 1, 0, r)
+        return [*out, (a, len(tokens) - 1, start)] if a < len(tokens) else out
 
-    rows = F.transform(items, lambda x, i: F.struct(i.cast("int").alias("i"), x["t"].cast("long").alias("t"), x["r"].cast("double").alias("r")))
-    return F.aggregate(rows, init, step, finish)
+    types = {"a": pa.int32(), "b": pa.int32(), "start_ratio": pa.float64()}
+    return _fold(make, types, F.transform(items, lambda x: x["t"].cast("long")), F.transform(items, lambda x: x["r"].cast("double")))
 
 
 def format_ratio(r: Column) -> Column:
@@ -185,8 +266,25 @@ def semantic_chunks(distances: DataFrame, dim: int, config: SemanticConfig | Non
     c = config or SemanticConfig()
     d = distances.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sent", "current_text", "n_tokens", "ratio", "embedding"))).alias("s"))
     d = d.withColumn("c", chunk_spans(F.transform("s", lambda x: F.struct(x["n_tokens"].alias("t"), x["ratio"].alias("r"))), c))
-    d = d.select(key, "s", F.posexplode("c").alias("chunk_id", "x"))
-    own = F.slice("s", F.col("x.a") + 1, F.col("x.b") - F.col("x.a") + 1)
-    d = d.select(key, "chunk_id", F.col("x.a").alias("first"), F.col("x.b").alias("last"), F.array_join(own["current_text"], " ").alias("text"), format_ratio(F.col("x.start_ratio")).alias("start_ratio"), own["embedding"].alias("v"))
-    vectors = pooling.pool(d.select(key, "chunk_id", F.explode("v").alias("v")), [key, "chunk_id"], "v", dim, c.pooling)
-    return d.drop("v").join(vectors, [key, "chunk_id"])
+
+    def one(x, i):
+        own = F.slice("s", x["a"] + 1, x["b"] - x["a"] + 1)
+        return F.struct(i.cast("int").alias("chunk_id"), x["a"].alias("first"), x["b"].alias("last"), F.array_join(own["current_text"], " ").alias("text"), x["start_ratio"].alias("r"), own["embedding"].alias("v"))
+
+    d = d.select(key, F.inline(F.transform("c", one)))
+    out = d.select(key, "chunk_id", "first", "last", "text", format_ratio(F.col("r")).alias("start_ratio"), "v")
+    if c.pooling != "median":
+        return out.withColumn("embedding", pooling.pool_array(F.col("v"), c.pooling)).drop("v")
+    vectors = pooling.pool(out.select(key, "chunk_id", F.explode("v").alias("v")), [key, "chunk_id"], "v", dim, c.pooling)
+    return out.drop("v").join(vectors, [key, "chunk_id"])
+
+
+def late_chunks(docs: DataFrame, embedder, dim: int, slice_tokens: int = 4000, method: str = "mean", key: str = "doc_id", text: str = "text", tokenizer=None) -> DataFrame:
+    """Late chunking of whole texts: ``(key, sent, n_tokens, embedding)`` for every sentence of the text, pooled over vectors of its tokens that
+    were embedded in slices of the joined text.  The text is tokenized once, sentence by sentence, so no spans need to be looked up; chunks
+    that come from elsewhere go through ``spans.char_spans``, ``spans.token_spans`` and ``pooling.late_pool``.  Two shuffles."""
+    cut = tokenizer.tokens if tokenizer else T.token_texts
+    rows = F.flatten(F.transform(T.sentences(F.col(text)), lambda s, i: F.transform(cut(s), lambda t: F.struct(i.alias("sent"), t.alias("token")))))
+    t = docs.select(key, F.posexplode(rows).alias("pos", "x")).select(key, "pos", "x.sent", "x.token")
+    t = embedder.embed(t.withColumn("slice", F.floor(F.col("pos") / slice_tokens)), [key, "slice"])
+    return pooling.pool(t, [key, "sent"], "embedding", dim, method, extra={"n_tokens": F.count(F.lit(1))})

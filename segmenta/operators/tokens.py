@@ -26,20 +26,25 @@ def without_special(tokens: DataFrame, special: list[str], key: str = "doc_id")
     return tokens.where(~F.col("token").isin(special)).withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
 
 
+def _window(k: Column, n: Column, config: WindowConfig) -> Column:
+    """Window ``k`` over ``n`` tokens, ``struct<win_id, start, end, own_from, own_to>``."""
+    size, step = config.max_tokens, config.max_tokens - config.overlap_tokens
+    start = lambda j: j * step
+    end = lambda j: F.least(j * step + size, n)
+    border = lambda j: F.when(j == 0, 0).when(j >= _count(n, config), n).otherwise(F.floor((start(j) + end(j - 1) + 1) / 2)).cast("int")
+    return F.struct(k.cast("int").alias("win_id"), start(k).cast("int").alias("start"), end(k).cast("int").alias("end"), border(k).alias("own_from"), border(k + 1).alias("own_to"))
+
+
+def _count(n: Column, config: WindowConfig) -> Column:
+    return F.when(n <= config.max_tokens, 1).otherwise(F.ceil(n / (config.max_tokens - config.overlap_tokens)).cast("int"))
+
+
 def windows(n: Column, config: WindowConfig) -> Column:
     """``array<struct<win_id, start, end, own_from, own_to>>`` over ``n`` tokens.
 
     Windows begin every ``max - overlap`` tokens, so the last may lie inside the one before.  Where two windows overlap the
     earlier one owns up to the middle of the overlap (the odd token is its own), so every token has one owner."""
-    size, step = config.max_tokens, config.max_tokens - config.overlap_tokens
-    count = F.when(n <= size, 1).otherwise(F.ceil(n / step).cast("int"))
-    start = lambda k: k * step
-    end = lambda k: F.least(k * step + size, n)
-    border = lambda k: F.when(k == 0, 0).when(k >= count, n).otherwise(F.floor((start(k) + end(k - 1) + 1) / 2)).cast("int")
-    made = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda k: F.struct(k.alias("win_id"), start(k).cast("int").alias("start"), end(k).cast("int").alias("end"), border(k).alias("own_from"), border(k + 1).alias("own_to")),
-    )
+    made = F.transform(F.sequence(F.lit(0), _count(n, config) - 1), lambda k: _window(k, n, config))
     return F.when(n > 0, made).otherwise(F.filter(made, lambda x: F.lit(False)))
 
 
@@ -51,10 +56,16 @@ def window_rows(docs: DataFrame, config: WindowConfig, key: str = "doc_id", text
 
 
 def owned(tokens: DataFrame, config: WindowConfig, key: str = "doc_id") -> DataFrame:
-    """Each token row once for every window that holds it: with ``win_id``, its place ``j`` in it, and whether the window owns it."""
-    n = tokens.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    w = n.select(key, F.explode(windows(F.col("n"), config)).alias("w")).select(key, "w.*", F.explode(F.sequence(F.col("w.start"), F.col("w.end") - 1)).alias("pos"))
-    return tokens.join(w, [key, "pos"]).withColumn("j", F.col("pos") - F.col("start")).withColumn("owned", (F.col("pos") >= F.col("own_from")) & (F.col("pos") < F.col("own_to"))).drop("start", "end", "own_from", "own_to")
+    """Each token row once for every window that holds it: with ``win_id``, its place ``j`` in it, and whether the window owns it.
+
+    A token's windows follow from its position and the number of tokens, so nothing is joined."""
+    size, step = config.max_tokens, config.max_tokens - config.overlap_tokens
+    n, pos = F.col("__n"), F.col("pos")
+    first = F.greatest(F.floor((pos - size) / step).cast("int") + 1, F.lit(0))
+    last = F.least(F.floor(pos / step).cast("int"), _count(n, config) - 1)
+    t = tokens.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key)).cast("int"))
+    t = t.withColumn("w", F.explode(F.transform(F.sequence(first, last), lambda k: _window(k, n, config))))
+    return t.select(*tokens.columns, F.col("w.win_id").alias("win_id"), (pos - F.col("w.start")).alias("j"), ((pos >= F.col("w.own_from")) & (pos < F.col("w.own_to"))).alias("owned"))
 
 
 def exact_overlap(earlier: Column, later: Column) -> Column:
