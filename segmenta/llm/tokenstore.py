@@ -1,7 +1,7 @@
 """Token ids as binary files with keyed access.
 
 A store is a folder of shards and a manifest.  Documents are laid out in ascending key order,
-shard after shard.  A shard is one file:
+shard after shard; a task writes the shards of a key range one after the other, and closes each at a number of bytes.  A shard is one file:
 
     magic "SEGTOK1\\n" | header length, uint32 | header, JSON | sections
     payload       ids, uint16 if every id of the vocabulary fits, else uint32, little-endian
@@ -25,25 +25,28 @@ import functools
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segmenta.llm.bpe import Memo
-from segmenta.llm.common import bounded_batches, fresh_path, parts_for, text_bytes
+from segmenta.llm.bpe import Memo, byte_alphabet
+from segmenta.llm.common import bounded_batches, fresh_path, parts_for, text_bytes, tidied
 
 MAGIC = b"SEGTOK1\n"
 #: Text bytes in a shard, on average.
 SHARD_BYTES = 16 << 20
 #: Bits of a level for each key, and levels of random placement (then the rest is listed).
 GAMMA, LEVELS = 2.0, 48
-#: Pieces, and pre-tokens, that a worker remembers (twice as many at most).
-MEMO = 250_000
+#: Bytes of remembered pieces that a worker holds (twice as many at most).
+MEMO_BYTES = 96 << 20
+#: Shards of one group of running sums.
+RUN = 4096
 
 
 def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -183,19 +186,20 @@ class _NotAlone(Exception):
 
 
 class CachedEncoder:
-    """The library's ids, remembered by piece of text and by pre-token.
+    """The library's ids, remembered by piece of text.
 
     What the byte-level pattern makes of a text at some place depends only on what comes after it, and no match goes from
     another character into a single space with text behind it.  So the text is cut before such spaces, and a piece
-    that is new is cut by the pattern into pre-tokens, which the library encodes.  Where a space is followed by white space the
+    that is new is cut by the pattern into pre-tokens, which the library's model encodes.  Where a space is followed by white space the
     text is cut by the pattern alone.  Texts with special tokens, or with
     characters that only one of two regular expression engines takes for white space, are encoded whole, and pieces beyond Latin
-    letters, where the engines' tables may differ in age, as one."""
+    letters, where the engines' tables may differ in age, as one.  So are all texts if the file isn't plain byte-level BPE with that pattern."""
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     PIECES = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
     ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
     FAR = re.compile("[^\x00-\u024f]")
+    STOPS = ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -203,36 +207,63 @@ class CachedEncoder:
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.plain = self.is_plain(json.load(f))
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.width = 2 if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
+        self.code = "H" if self.width == 2 else "I"
         self.pattern = regex.compile(self.PATTERN)
-        self.tokens = Memo(self._whole, MEMO)
-        self.pieces = Memo(self._piece, MEMO)
-        self.led = Memo(self._led, MEMO)
+        self.bytes = byte_alphabet()
+        self.space = self.bytes[ord(" ")]
+        self.model = self.t.model
+        self.pieces = Memo(self._piece, MEMO_BYTES // 8)
+        self.led = Memo(self._led, MEMO_BYTES)
+
+    @staticmethod
+    def is_plain(spec: dict) -> bool:
+        """Whether texts may be cut into pieces and pre-tokens that are encoded alone, by this class's pattern."""
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        levels = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        words = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback"))
+        return bool(levels and words and not spec.get("normalizer"))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _token(self, text: str) -> bytes:
+        """A pre-token: its bytes as characters, merged by the library's model."""
+        if text.isascii() and text[1:].isalnum():  # such bytes stand for themselves, but for the space
+            spelled = self.space + text[1:] if text[0] == " " else text
+        else:
+            spelled = "".join([self.bytes[b] for b in text.encode("utf-8")])
+        return array(self.code, [x.id for x in self.model.tokenize(spelled)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         if self.FAR.search(piece):
             return self._whole(piece)
-        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(piece)))
+        return b"".join(map(self._token, self.pattern.findall(piece)))
 
     def _led(self, rest: str) -> bytes:
-        """A piece by what follows its space."""
+        """A piece by what follows its space; most are a word, or a word and a stop."""
         if not rest or rest[0].isspace():
             raise _NotAlone
+        if rest.isalpha():
+            if rest.isascii() or not self.FAR.search(rest):
+                return self._token(" " + rest)
+        elif rest[-1] in self.STOPS and rest[:-1].isalpha():
+            if rest.isascii() or not self.FAR.search(rest):
+                return self.led[rest[:-1]] + self.pieces[rest[-1]]
         return self._piece(" " + rest)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(x in text for x in self.special) or (not text.isprintable() and self.ODD.search(text)):
+        if not self.plain or any(x in text for x in self.special) or (not text.isprintable() and self.ODD.search(text)):
             return self._whole(text)
         first, *rest = text.split(" ")
         try:
-            return self._piece(first) + b"".join(map(self.led.__getitem__, rest))
+            return (self._piece(first) if first else b"") + b"".join(map(self.led.__getitem__, rest))
         except _NotAlone:
             return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(text)))
 
@@ -246,11 +277,15 @@ def encoder(path: str) -> CachedEncoder:
 
 
 # -- the operator
+MANIFEST = "part int, shard int, file string, documents long, ids long"
+
+
 def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int | None = None, shard_bytes: int = SHARD_BYTES) -> str:
     """Encode all texts and write the store; returns its folder.
 
     Documents are range-partitioned by key and sorted (null keys first; equal keys by a hash of their texts, so that reruns
-    agree); each partition is a shard.  ``end_id`` is appended to every document.  Null and
+    agree); each partition is a run of shards, each closed when its ids and keys reach ``shard_bytes``, so a task holds one shard however long
+    its texts are.  ``end_id`` is appended to every document.  Null and
     empty texts have no ids but that.  The key is an integer.  The manifest is a small Parquet table: a row for each shard."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -263,26 +298,34 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     def run(rows):
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer_path)
+        encode, number = encoder(tokenizer_path), 0
         end = b"" if end_id is None else int(end_id).to_bytes(encode.width, "little")
-        keys, nulls, counts, payload = [], [], [], []
+        keys, nulls, counts, payload, size = [], [], [], [], 0
+
+        def closed():
+            nonlocal number, size
+            part = TaskContext.get().partitionId()
+            name = f"shards/{part:08d}-{number:06d}.tok"
+            counted = np.array(counts, np.int64)
+            write_shard(f"{folder}/{name}", np.array(keys, np.int64), np.array(nulls, bool), counted, payload, encode.width)
+            row = {"part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "file": [name], "documents": [len(keys)], "ids": [int(counted.sum())]}
+            for x in (keys, nulls, counts, payload):
+                x.clear()
+            number, size = number + 1, 0
+            return pa.RecordBatch.from_pydict(row)
+
         for batch in rows:
-            col = batch.column(0)
-            keys.append(col.fill_null(0).to_numpy(zero_copy_only=False))
-            nulls.append(col.is_null().to_numpy(zero_copy_only=False))
-            parts = [encode(x.as_py()) + end for x in batch.column(1)]
-            counts.extend(len(x) // encode.width for x in parts)
-            payload.append(b"".join(parts))
-        if not keys:
-            return
-        keys, nulls, counts = np.concatenate(keys), np.concatenate(nulls), np.array(counts, np.int64)
-        name = f"shards/{TaskContext.get().partitionId():08d}.tok"
-        write_shard(f"{folder}/{name}", keys, nulls, counts, payload, encode.width)
-        row = {"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "documents": [len(keys)], "ids": [int(counts.sum())]}
-        yield pa.RecordBatch.from_pydict(row)
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encode(value.as_py()) + end
+                keys.append(key or 0), nulls.append(key is None), counts.append(len(ids) // encode.width), payload.append(ids)
+                size += len(ids) + 16
+                if size >= shard_bytes:
+                    yield closed()
+        if keys:
+            yield closed()
 
     ordered = d.repartitionByRange(shards, F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInArrow(run, "shard int, file string, documents long, ids long").write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(lambda rows: tidied(run(rows)), MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
 
@@ -290,12 +333,12 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """``(key, start, n_ids, ids binary)`` of every document, read from the files through their index.
 
     ``ids`` are little-endian uint32; ``start`` counts the ids of all documents before.  A shard is one task."""
-    manifest = spark.read.schema("shard int, file string, documents long, ids long").parquet(f"{folder}/manifest")
-    rows = sorted(manifest.collect(), key=lambda r: r["shard"])  # one small row for each shard
-    if not rows:
-        return spark.createDataFrame([], "key long, start long, n_ids long, ids binary")
-    starts = np.concatenate([[0], np.cumsum([r["ids"] for r in rows])]).tolist()
-    listed = spark.createDataFrame([(r["file"], s) for r, s in zip(rows, starts, strict=False)], "file string, start long").repartition(len(rows))
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").withColumn("run", F.floor(F.col("part") / RUN))
+    before = manifest.groupBy("run").agg(F.sum("ids").alias("n"))  # one row for thousands of shards
+    before = before.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("before"))
+    inside = F.sum("ids").over(Window.partitionBy("run").orderBy("part", "shard")) - F.col("ids")
+    listed = manifest.withColumn("inside", inside).join(before, "run").select("file", (F.col("before") + F.col("inside")).alias("start"))
+    listed = listed.repartition(max(1, manifest.count()))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -311,7 +354,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                         [keys, pa.array(start + shard.offsets[part].astype(np.int64)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["key", "start", "n_ids", "ids"]
                     )
 
-    return listed.mapInArrow(run, "key long, start long, n_ids long, ids binary")
+    return listed.mapInArrow(lambda rows: tidied(run(rows)), "key long, start long, n_ids long, ids binary")
 
 
 class TokenStore:
@@ -321,7 +364,7 @@ class TokenStore:
         fs, at = filesystem(folder)
         import pyarrow.dataset as ds
 
-        rows = ds.dataset(f"{at}/manifest", filesystem=fs, format="parquet").to_table().sort_by("shard").to_pylist()
+        rows = ds.dataset(f"{at}/manifest", filesystem=fs, format="parquet").to_table().sort_by([("part", "ascending"), ("shard", "ascending")]).to_pylist()
         self.paths = [f"{folder}/{r['file']}" for r in rows]
 
     @functools.lru_cache(maxsize=64)

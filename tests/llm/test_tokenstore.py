@@ -67,3 +67,33 @@ def test_digests_and_empty(spark, none, small, library):
     text = small.orderBy("doc_id").first()["text"]
     ids = [*library.encode(text, add_special_tokens=False).ids, 2]
     assert tuple(r) == (small.agg({"doc_id": "min"}).first()[0], 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_pieces_with_stops_agree_with_the_library(library):
+    e = ts.encoder(PATH)
+    for text in ("", " ", ".", " .", " a.", "a. b, c; d: e! f?", " a.. b.c 'tis it's, we'll. x1. 2, don't. É. été, a'", "a .b ,c", " s. 's. l'l"):
+        assert np.frombuffer(e(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_tokenizer_files_are_encoded_whole(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "prefixed.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    e, t = ts.CachedEncoder(str(path)), Tokenizer.from_file(str(path))
+    assert not e.plain
+    for text in ("word", "two words, here", " led"):
+        assert np.frombuffer(e(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_a_task_closes_shards_at_their_bytes(spark):
+    docs = spark.createDataFrame([(k, f"word{k} " * 500) for k in range(50)], "doc_id long, text string").coalesce(1)
+    folder = ts.write_store(docs, PATH, shard_bytes=4096)
+    shards = spark.read.parquet(f"{folder}/manifest").collect()
+    assert len(shards) > 40 and sum(r["documents"] for r in shards) == 50
+    got = ts.read_store(spark, folder).orderBy("start").collect()
+    assert [r["key"] for r in got] == list(range(50))
+    assert [r["start"] for r in got[1:]] == np.cumsum([r["n_ids"] for r in got])[:-1].tolist()
