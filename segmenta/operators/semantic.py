@@ -79,19 +79,21 @@ def _merged(counts: Column, least: int, most: int) -> Column:
 
 
 def sentence_arrays(docs: DataFrame, config: SemanticConfig | None = None, key: str = "doc_id", text: str = "text", tokenizer=None) -> DataFrame:
-    """A row for each document that has a sentence: ``s: array<struct<sent, text, n_tokens, t_start, t_end>>``, its sentences merged to at
-    least ``sentence_min`` tokens, with spans of tokens of the joined text.  No shuffle."""
+    """A row for each document: ``s: array<struct<sent, text, n_tokens, t_start, t_end>>``, its sentences merged to at
+    least ``sentence_min`` tokens, with spans of tokens of the joined text.  No shuffle.
+
+    No filter stands on ``s``, as it would be pushed down and have the sentences made again for each of them."""
     c = config or SemanticConfig()
     size = tokenizer.count if tokenizer else T.count_tokens
     d = docs.select(key, T.limited_sentences(F.col(text), c.sentence_max, tokenizer=tokenizer).alias("s"))
     d = d.withColumn("m", _merged(F.transform("s", size), c.sentence_min, c.sentence_max))
     made = F.transform("m", lambda x, i: F.struct(i.cast("int").alias("sent"), F.array_join(F.slice("s", x["a"] + 1, x["b"] - x["a"]), " ").alias("text"), x["n"].alias("n_tokens"), x["t"].alias("t_start"), (x["t"] + x["n"]).alias("t_end")))
-    return traced("sentence_arrays", d.select(key, made.alias("s")).where(F.size("s") > 0))
+    return traced("sentence_arrays", d.select(key, made.alias("s")))
 
 
 def merged_sentences(docs: DataFrame, config: SemanticConfig | None = None, key: str = "doc_id", text: str = "text", tokenizer=None) -> DataFrame:
     """``(key, sent, text, n_tokens, t_start, t_end)``: a row for each of the sentences of ``sentence_arrays``."""
-    return sentence_arrays(docs, config, key, text, tokenizer).select(key, F.inline("s"))
+    return sentence_arrays(docs, config, key, text, tokenizer).select(key, F.inline(F.transform("s", lambda x: x)))  # not of "s" alone: that adds a filter
 
 
 def sentence_lists(merged: DataFrame, key: str = "doc_id") -> DataFrame:
