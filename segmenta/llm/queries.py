@@ -40,8 +40,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     base, plan, reads = mixing.mix(docs)
-    mixed = mixing.mixed_blocks(mixing.packed_blocks(docs, base), reads)
-    return mixing.counted(base, plan, mixed).withColumnRenamed("key", "doc_id")
+    return mixing.counted(base, plan, mixing.mixed_blocks(docs, base, reads)).drop("source").withColumnRenamed("key", "doc_id")
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
