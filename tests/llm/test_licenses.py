@@ -1,3 +1,5 @@
+import random
+
 from segmenta.llm import licenses
 
 MIT = licenses.TEMPLATES["MIT"][1]
@@ -67,3 +69,33 @@ def test_rows(odd, none):
     got = licenses.scan(odd).collect()
     assert [(r["doc_id"], r["license"]) for r in got] == [(1, "all-rights-reserved")]
     assert licenses.scan(none).count() == 0
+
+
+def common_words(a, b):
+    """Words of the longest common subsequence, over all of both."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for k, y in enumerate(b, 1):
+            before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
+    return row[-1]
+
+
+def test_edited_texts_against_an_exhaustive_alignment():
+    rng, s = random.Random(8), licenses.Scanner()
+    for name, texts in licenses.TEMPLATES.items():
+        for n, t in enumerate(texts):
+            template = licenses.words_of(t)
+            spots = [k for k in range(5, len(template) - 5, 9) if template[k] not in licenses.TELLING and not template[k].isdigit()]
+            for _ in range(3):
+                words = []
+                chosen = set(rng.sample(spots, len(spots) // 2))
+                for k, w in enumerate(template):
+                    kind = rng.choice(["change", "add", "drop"]) if k in chosen else None
+                    words += {"change": ["zzz"], "add": [w, "zzz"], "drop": []}.get(kind, [w])
+                filler = ["qqq"] * rng.randint(1, 30)
+                text = " ".join(filler + words + filler + words + filler)
+                got = s.scan(text)
+                assert [r[:2] for r in got] == [(name, n)] * 2, (name, n, got)
+                assert [r[3] for r in got] == [common_words(template, words)] * 2
+                assert all(text[a:b].split()[0] == words[0] and text[a:b].split()[-1] == words[-1] for *_, a, b in got)
