@@ -27,14 +27,16 @@ DOCS_PER_LANG = 2000
 #: An n-gram is usual in a language if this share of its documents has it, and at least this share of
 #: what it has in the language where it is most usual.
 MIN_SHARE, MIN_RATIO = 0.003, 0.1
-#: Bits of a filter and hash positions; languages at most.
-BITS, HASHES, MAX_LANGS = 1 << 20, 3, 64
+#: Documents without an n-gram that every language is given beside its own, so that a few documents can't make an n-gram its property.
+PRIOR_DOCS = 50
+#: Bits of a filter and hash positions.
+BITS, HASHES = 1 << 20, 3
 UNKNOWN = "und"
 
 
 @functools.lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Which code points are letters (marks that belong to words among them)."""
+    """Which code points are letters."""
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
@@ -74,7 +76,7 @@ def _positions(h: np.ndarray, bits: int, hashes: int) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """``slices[p]``: bit ``l`` set if position ``p`` of language ``l`` is set."""
+    """``slices[p]``: bit ``l`` set if position ``p`` of language ``l`` is set; a row of several words beyond 64 languages."""
 
     langs: list[str]
     n: int
@@ -84,19 +86,17 @@ class Filters:
 
     @classmethod
     def build(cls, langs: list[str], grams: list[np.ndarray], n: int = N, bits: int = BITS, hashes: int = HASHES) -> Filters:
-        if len(langs) > MAX_LANGS:
-            raise ValueError(f"at most {MAX_LANGS} languages")
         kind = np.uint8 if len(langs) <= 8 else np.uint64
-        slices = np.zeros(bits, kind)
+        slices = np.zeros((bits, max(1, -(-len(langs) // 64))), kind)
         fill = np.zeros(len(langs))
         for k, g in enumerate(grams):
             at = np.unique(np.concatenate(_positions(g, bits, hashes)))
-            slices[at] |= kind(1 << k)
+            slices[at, k // 64] |= kind(1 << k % 64)
             fill[k] = len(at) / bits
         return cls(langs, n, hashes, slices, fill**hashes)
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        """For each n-gram the bit mask of the languages that contain it."""
+        """For each n-gram the bit mask of the languages that contain it, in one word or several."""
         at = _positions(h, len(self.slices), self.hashes)
         out = self.slices[at[0]]
         for p in at[1:]:
@@ -112,8 +112,9 @@ class Filters:
         inside = keep + self.n <= ends[of] if len(keep) else np.zeros(0, bool)
         of, masks = of[inside], masks[inside]
         total = np.bincount(of, minlength=len(texts))
-        hits = np.stack([np.bincount(of[(masks >> masks.dtype.type(k)) & masks.dtype.type(1) == 1], minlength=len(texts)) for k in range(len(self.langs))], axis=1)
-        return total, hits
+        one = masks.dtype.type(1)
+        has = lambda k: (masks[:, k // 64] >> masks.dtype.type(k % 64)) & one == 1
+        return total, np.stack([np.bincount(of[has(k)], minlength=len(texts)) for k in range(len(self.langs))], axis=1)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text: the share of its n-grams that the language contains, corrected for false
@@ -160,7 +161,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     counted = sample.mapInArrow(run, "lang string, g long, c long").groupBy("g", "lang").agg(F.sum("c").alias("c"))
     docs = {k: min(c, docs_per_lang) for k, c in sizes.items()}
     of = F.create_map(*[x for k, c in docs.items() for x in (F.lit(k), F.lit(float(c)))])
-    counted = counted.withColumn("share", F.col("c") / F.try_element_at(of, F.col("lang"))).where((F.col("share") >= MIN_SHARE) & ((F.col("c") >= 2) | (F.try_element_at(of, F.col("lang")) < 2 / MIN_SHARE)))
+    n_docs = F.try_element_at(of, F.col("lang"))
+    counted = counted.withColumn("share", F.col("c") / (n_docs + PRIOR_DOCS)).where((F.col("share") >= MIN_SHARE) & ((F.col("c") >= 2) | (n_docs < 2 / MIN_SHARE)))
     top = counted.groupBy("g").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("all"))
     usual = top.select("g", F.explode("all").alias("x"), "top").where(F.col("x.share") >= MIN_RATIO * F.col("top")).select("g", F.col("x.lang").alias("lang"))
     langs = sorted(sizes)
@@ -201,7 +203,10 @@ def held_out(key: str = "doc_id", folds: int = 4, fold: int = 2):
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The query's rows: learn from the rows that aren't held out, predict all."""
+    """The query's rows: learn from the rows that aren't held out, predict all.
+
+    Rows with a null id are learned from, as they are in no fold; repeated rows are learned from and predicted as often as they come; texts that are null,
+    empty or without a letter are ``und``; with no labelled text every text is ``und``; an empty table gives no rows."""
     filters = fit(docs.where(~held_out()))
     found = predict(docs.select("doc_id", "text"), filters)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -77,10 +77,10 @@ def _drop(text: str | None, is_frequent, min_chars: int) -> tuple[int, int, str
 
 
 def drop_frequent_lines(
-    docs: DataFrame, text: str = "text", out: str = "kept", min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = BROADCAST_BYTES
+    docs: DataFrame, text: str = "text", out: str = "kept", min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = BROADCAST_BYTES, counts: tuple[str, str] = ("n_lines", "n_dropped")
 ) -> DataFrame:
-    """All rows and columns of ``docs``, with ``out`` (the kept lines joined by newline), ``n_lines`` and
-    ``n_dropped``; columns of these names are replaced.  ``out`` may be ``text`` itself.
+    """All rows and columns of ``docs``, with ``out`` (the kept lines joined by newline) and ``counts`` (lines before, and
+    dropped); columns of these names are replaced.  ``out`` may be ``text`` itself.
 
     A null or empty text is one empty line: ``n_lines`` 1, kept as it is.  Repeated rows are so many
     documents.  An empty table gives no rows."""
@@ -88,8 +88,8 @@ def drop_frequent_lines(
     bounded_batches(spark)
     frequent = materialise(frequent_lines(docs, text, min_docs, min_chars).select("h"), "line-hashes")
     if frequent.count() * 16 <= broadcast_bytes:
-        return _drop_by_set(docs, [bytes(r["h"]) for r in frequent.collect()], spark, text, out, min_chars)
-    return _drop_by_join(docs, frequent, text, out, min_chars)
+        return _drop_by_set(docs, [bytes(r["h"]) for r in frequent.collect()], spark, text, out, min_chars, counts)
+    return _drop_by_join(docs, frequent, text, out, min_chars, counts)
 
 
 def _with(docs: DataFrame, added: dict[str, str], run) -> DataFrame:
@@ -105,7 +105,7 @@ def _with(docs: DataFrame, added: dict[str, str], run) -> DataFrame:
     return docs.mapInArrow(each, schema)
 
 
-def _drop_by_set(docs, frequent, spark, text, out, min_chars):
+def _drop_by_set(docs, frequent, spark, text, out, min_chars, counts):
     sent = spark.sparkContext.broadcast(frozenset(frequent))
 
     def run(batch):
@@ -113,10 +113,10 @@ def _drop_by_set(docs, frequent, spark, text, out, min_chars):
         found = [_drop(x.as_py(), known.__contains__, min_chars) for x in batch.column(batch.schema.get_field_index(text))]
         return [pa.array([x[2] for x in found], pa.string()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())]
 
-    return _with(docs, {out: "string", "n_lines": "long", "n_dropped": "long"}, run)
+    return _with(docs, {out: "string", counts[0]: "long", counts[1]: "long"}, run)
 
 
-def _drop_by_join(docs, frequent, text, out, min_chars):
+def _drop_by_join(docs, frequent, text, out, min_chars, counts):
     def explode(rows):
         for batch in rows:
             of, pos, hashes = [], [], []
@@ -149,7 +149,7 @@ def _drop_by_join(docs, frequent, text, out, min_chars):
             n_lines.append(len(lines)), n_dropped.append(len(drop))
         return [pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
 
-    return _with(joined, {out: "string", "n_lines": "long", "n_dropped": "long"}, run).drop("__drop")
+    return _with(joined, {out: "string", counts[0]: "long", counts[1]: "long"}, run).drop("__drop")
 
 
 def digests(deduped: DataFrame, key: str = "doc_id", out: str = "kept") -> DataFrame:
