@@ -16,41 +16,55 @@ from segmenta.llm.common import fresh_path, read_table
 MIN_LANGUAGE_SCORE = 0.25
 
 
+def own_names(docs: DataFrame, n: int) -> tuple[str, ...]:
+    """Names that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    return tuple([name for k in range(len(taken) + n) if (name := f"stage_{k}") not in taken][:n])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and texts of which no language holds enough n-grams, go; ``lang`` becomes the prediction."""
-    found = langid.predict(docs, langid.fit(docs.where(~langid.held_out())), pred="lang_pred", score="lang_score")
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    """Texts without a letter, and texts of which no language holds enough n-grams, go; ``lang`` becomes the prediction.
+
+    Null and empty texts go; rows with a null id or language are kept as others, and repeated rows as often as they come; other columns pass, whatever their names."""
+    pred, score = own_names(docs, 2)
+    found = langid.predict(docs, langid.fit(docs.where(~langid.held_out())), pred=pred, score=score)
+    kept = found.where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.col(pred)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in many documents go; documents stay, and ``n_chars`` is counted anew."""
-    kept = linededup.drop_frequent_lines(docs, out="text")
+    """Lines found in many documents go; documents stay, and ``n_chars`` is counted anew.
+
+    Every row stays, null and empty texts as they are (``n_chars`` of a null text is null); repeated rows are documents of their own; other columns pass."""
+    kept = linededup.drop_frequent_lines(docs, out="text", counts=own_names(docs, 2))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that with the smallest id, a null one last; of documents with one id
     that with the smallest hash of its text; of copies under one id the first by the other columns, so that one row stays of each group."""
+    place_, copy_ = own_names(docs, 2)
     is_null = F.col("doc_id").isNull()
     place = F.struct(is_null.alias("is_null"), F.when(is_null, F.lit(0)).otherwise(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("h"))
-    placed = docs.withColumn("__place", place)
-    groups = simhash.near_duplicates(placed, key="__place")
-    first = groups.where(F.col("__place") == F.col("component_id")).select("__place").distinct()
-    copies = Window.partitionBy("__place").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
-    kept = placed.join(first, "__place", "left_semi").withColumn("__copy", F.row_number().over(copies))
-    return kept.where("__copy = 1").select(*docs.columns)
+    placed = docs.withColumn(place_, place)
+    groups = simhash.near_duplicates(placed, key=place_)
+    first = groups.where(F.col(place_) == F.col("component_id")).select(place_).distinct()
+    copies = Window.partitionBy(place_).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    kept = placed.join(first, place_, "left_semi").withColumn(copy_, F.row_number().over(copies))
+    return kept.where(F.col(copy_) == 1).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each copy of a document that it takes, whole or in part."""
+    """The mix: a row for each copy of a document that it takes, whole or in part.
+
+    A null source is a source; null and empty texts have no words to take and no row; other columns pass with each copy."""
     base, _, reads = mixing.mix(docs)
     mixed = mixing.mixed_documents(docs, base, reads)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and digests of ids and decoded text."""
+    """Ids of every text, and digests of ids and decoded text: a row for each row, null texts as empty ones."""
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.digests(bpe.round_trip(docs, path))
 
