@@ -33,12 +33,26 @@ def test_stages(spark, small, tmp_path):
 
 
 def test_stages_bear_odd_documents(spark, odd, none, tmp_path):
+    """Null ids, texts and sources, repeated rows, and columns with the names that operators use."""
+    extra = [f"stage_{k}" for k in (0, 1)]
     for start, source in (("odd", odd), ("none", none)):
-        docs = source.select("doc_id", "text", "lang", "source", "n_chars")
+        docs, seen = source.withColumns({c: F.lit("own") for c in extra}), {}
+        columns = docs.columns
         for name, stage in corpus_pipeline.STAGES:
             path = str(tmp_path / f"{start}-{name}")
             stage(spark, docs, "").write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = seen[name] = spark.read.parquet(path)
+            if name != "bpe":
+                assert docs.columns == columns and docs.where(" or ".join(f"{c} <> 'own'" for c in extra)).count() == 0
+        if start == "none":
+            assert all(d.count() == 0 for d in seen.values())
+            continue
+        ids = lambda name: sorted([r["doc_id"] for r in seen[name].collect()], key=str)
+        assert not {2, 3, 6, 9} & set(ids("language_id")) and ids("language_id").count(4) in (0, 2)  # null, empty and letterless texts go
+        assert ids("line_dedup") == ids("language_id")
+        assert ids("simhash_dedup").count(4) <= 1 and 8 not in ids("simhash_dedup")  # copies of 4
+        assert None in ids("language_id") and None in ids("simhash_dedup")
+        assert seen["bpe"].count() == seen["mix_sources"].count() > 0
 
 
 def test_one_row_of_each_group_stays_without_ids(spark):
