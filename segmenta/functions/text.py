@@ -61,8 +61,9 @@ def split_long(c: Column, limit: int) -> Column:
 
 
 def limited_sentences(c: Column, limit: int, regex: str = SENTENCE, tokenizer=None) -> Column:
-    cut = tokenizer.split_long if tokenizer else split_long
-    return F.flatten(F.transform(sentences(c, regex), lambda s: cut(s, limit)))
+    if tokenizer:
+        return tokenizer.limited(sentences(c, regex), limit)
+    return F.flatten(F.transform(sentences(c, regex), lambda s: split_long(s, limit)))
 
 
 def prefix(c: Column, n: int = 100) -> Column:

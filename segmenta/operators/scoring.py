@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,36 +39,105 @@ def word_similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+class PhraseIndex:
+    """Phrases, and which document words could stand for their words.
+
+    If a phrase's words agree by ``threshold`` on average, then at least ``(threshold - NEAR) / (1 - NEAR)`` of them agree by ``NEAR``, for
+    any NEAR below the threshold.  So places are counted by near words first, and only those with enough of them are compared in full.
+    Nothing that reaches the threshold is lost."""
+
+    #: Of the threshold, what a near word has; remembered words and pairs of words.
+    NEAR, MEMO = 0.94, 200_000
+
+    def __init__(self, phrases: list[str], threshold: float):
+        self.threshold, self.near = threshold, threshold * self.NEAR
+        self.phrases = [_phrase_words(p) for p in phrases]
+        self.lengths = np.array([len(w) for w in self.phrases], np.int64)
+        self.least = np.maximum(1, np.ceil(self.lengths * (threshold - self.near) / (1 - self.near) - 1e-6)).astype(np.int64)
+        places: dict[str, list[tuple[int, int]]] = {}
+        for k, words in enumerate(self.phrases):
+            for j, w in enumerate(words):
+                places.setdefault(w, []).append((k, j))
+        self.known = sorted(places)
+        self.places = {w: np.array(p, np.int64) for w, p in places.items()}
+        self.sizes = np.array([len(w) for w in self.known], np.int64)
+        self.counts = np.stack([self._counts(w) for w in self.known]) if self.known else np.zeros((0, 64), np.uint8)
+        self.similar: dict[str, np.ndarray] = {}
+        self.ratios: dict[tuple[str, str], float] = {}
+
+    @staticmethod
+    def _counts(word: str) -> np.ndarray:
+        """Characters by code modulo 64: what two words share of these is no less than what they share of characters."""
+        return np.minimum(np.bincount([ord(c) & 63 for c in word], minlength=64), 255).astype(np.uint8)
+
+    def ratio(self, phrase_word: str, word: str) -> float:
+        if phrase_word == word:
+            return 1.0
+        if (found := self.ratios.get((phrase_word, word))) is None:
+            if len(self.ratios) >= self.MEMO:
+                self.ratios.clear()
+            found = self.ratios[phrase_word, word] = word_similarity(phrase_word, word)
+        return found
+
+    def stand_for(self, word: str) -> np.ndarray:
+        """(phrase, place) of every phrase word that the document word is near to."""
+        if (found := self.similar.get(word)) is None:
+            least = self.near * (self.sizes + len(word)) / 2 - 1e-6  # characters that must be shared
+            maybe = np.flatnonzero(np.minimum(self.sizes, len(word)) >= least)
+            if len(word) < 255:
+                shared = np.minimum(self.counts[maybe], self._counts(word)).sum(axis=1, dtype=np.int64)
+                maybe = maybe[(shared >= least[maybe]) | (self.sizes[maybe] >= 255)]
+            near = [self.places[w] for k in maybe.tolist() if (w := self.known[k]) == word or word_similarity(w, word) >= self.near - 1e-9]
+            found = np.concatenate(near) if near else np.zeros((0, 2), np.int64)
+            if len(self.similar) >= self.MEMO:
+                self.similar.clear()
+            self.similar[word] = found
+        return found
+
+    def hits(self, words: list[str]) -> list[tuple[int, int, int, float]]:
+        """(phrase, first word, last word, score) of the best place of each phrase, the earliest of equal ones."""
+        near = [self.stand_for(w) for w in words]
+        if not sum(map(len, near)):
+            return []
+        k, j = np.concatenate(near).T
+        start = np.repeat(np.arange(len(words)), [len(x) for x in near]) - j
+        inside = (start >= 0) & (start + self.lengths[k] <= len(words))
+        at, counts = np.unique(k[inside] * (len(words) + 1) + start[inside], return_counts=True)
+        k, start = at // (len(words) + 1), at % (len(words) + 1)
+        enough = counts >= self.least[k]
+        best: dict[int, tuple[float, int]] = {}
+        for k, start in zip(k[enough].tolist(), start[enough].tolist(), strict=True):
+            phrase = self.phrases[k]
+            score = sum(self.ratio(w, words[start + j]) for j, w in enumerate(phrase)) / len(phrase)
+            if score >= self.threshold and (score, -start) > best.get(k, (0.0, -len(words) - 1)):
+                best[k] = (score, -start)
+        return [(k, -back, -back + len(self.phrases[k]) - 1, score) for k, (score, back) in sorted(best.items())]
+
+
 def phrase_hits(elements: DataFrame, phrases: list[str], key: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """``(key, phrase, first, last, score)``: where each phrase's words best agree with as many consecutive words of the
     document, on average, the earliest of equal ones; no row below ``threshold``.
 
-    Distinct pairs of a phrase word and a document word are compared once, in an Arrow batch; the rest is native."""
-    spark = elements.sparkSession
-    rows = [(k, j, w, n) for k, p in enumerate(phrases) for w_ in [_phrase_words(p)] for n in [len(w_)] for j, w in enumerate(w_)]
-    if not rows:
-        return spark.createDataFrame([], f"{key} long, phrase int, first int, last int, score double")
-    words = elements.select(key, "pos", F.posexplode(T.words(F.col("text"))).alias("k", "word"))
-    words = words.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("pos", "k")) - 1)
-    known = sorted({r[2] for r in rows})
-
-    @F.pandas_udf("array<double>")
-    def ratios(batch: pd.Series) -> pd.Series:
-        return pd.Series([[word_similarity(w, x) for w in known] for x in batch])
-
-    table = words.select("word").distinct().withColumn("ratios", ratios("word"))
-    scored = words.join(table, "word")
-    total = Window.partitionBy(key)
-    scored = scored.withColumn("n_words", F.count(F.lit(1)).over(total))
-    hit = scored.withColumn("p", F.explode(F.array(*[F.struct(F.lit(a).alias("phrase"), F.lit(b).alias("j"), F.lit(known.index(w)).alias("r"), F.lit(n).alias("n")) for a, b, w, n in rows])))
-    hit = hit.select(key, "at", "n_words", F.col("p.phrase").alias("phrase"), F.col("p.n").alias("n"), (F.col("at") - F.col("p.j")).alias("start"), F.get("ratios", F.col("p.r")).alias("x"))
-    best = hit.where("start >= 0 and start + n <= n_words").groupBy(key, "phrase", "n", "start").agg((F.sum("x") / F.max("n")).alias("score"))
-    best = best.groupBy(key, "phrase", "n").agg(F.max(F.struct(F.col("score"), (-F.col("start")).alias("back"))).alias("b")).where(F.col("b.score") >= threshold)
-    best = best.select(key, "phrase", (-F.col("b.back")).alias("s"), (F.col("n") - F.col("b.back") - 1).alias("e"), F.col("b.score").alias("score"))
-    where = words.select(key, "at", "pos")
-    first = where.select(key, F.col("at").alias("s"), F.col("pos").alias("first"))
-    last = where.select(key, F.col("at").alias("e"), F.col("pos").alias("last"))
-    return best.join(first, [key, "s"]).join(last, [key, "e"]).select(key, "phrase", "first", "last", "score")
+    The phrases are a stated list that every task holds; a document's words come together once, and are searched in Arrow batches."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be over 0 and at most 1")
+    kind = elements.schema[key].dataType.simpleString()
+    words = elements.select(key, "pos", T.words(F.col("text")).alias("words"))
+    rows = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("lines"))
+
+    def run(batches):
+        index = PhraseIndex(phrases, threshold)
+        for batch in batches:
+            out = []
+            for k, lines in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                lines = lines.as_py()
+                text, of = [w for x in lines for w in x["words"]], [x["pos"] for x in lines for _ in x["words"]]
+                out.extend((k, phrase, of[a], of[b], score) for phrase, a, b, score in index.hits(text))
+            if out:
+                types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [key, "phrase", "first", "last", "score"])
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, phrase int, first int, last int, score double")
 
 
 def _phrase_words(phrase: str) -> list[str]:

@@ -84,9 +84,9 @@ def sentence_arrays(docs: DataFrame, config: SemanticConfig | None = None, key:
 
     No filter stands on ``s``, as it would be pushed down and have the sentences made again for each of them."""
     c = config or SemanticConfig()
-    size = tokenizer.count if tokenizer else T.count_tokens
+    sizes = F.transform(tokenizer.all_tokens(F.col("s")), F.size) if tokenizer else F.transform("s", T.count_tokens)
     d = docs.select(key, T.limited_sentences(F.col(text), c.sentence_max, tokenizer=tokenizer).alias("s"))
-    d = d.withColumn("m", _merged(F.transform("s", size), c.sentence_min, c.sentence_max))
+    d = d.withColumn("m", _merged(sizes, c.sentence_min, c.sentence_max))
     made = F.transform("m", lambda x, i: F.struct(i.cast("int").alias("sent"), F.array_join(F.slice("s", x["a"] + 1, x["b"] - x["a"]), " ").alias("text"), x["n"].alias("n_tokens"), x["t"].alias("t_start"), (x["t"] + x["n"]).alias("t_end")))
     return traced("sentence_arrays", d.select(key, made.alias("s")))
 
@@ -285,8 +285,9 @@ def late_chunks(docs: DataFrame, embedder, dim: int, slice_tokens: int = 4000, m
     """Late chunking of whole texts: ``(key, sent, n_tokens, embedding)`` for every sentence of the text, pooled over vectors of its tokens that
     were embedded in slices of the joined text.  The text is tokenized once, sentence by sentence, so no spans need to be looked up; chunks
     that come from elsewhere go through ``spans.char_spans``, ``spans.token_spans`` and ``pooling.late_pool``.  Two shuffles."""
-    cut = tokenizer.tokens if tokenizer else T.token_texts
-    rows = F.flatten(F.transform(T.sentences(F.col(text)), lambda s, i: F.transform(cut(s), lambda t: F.struct(i.alias("sent"), t.alias("token")))))
+    found = T.sentences(F.col(text))
+    found = tokenizer.all_tokens(found) if tokenizer else F.transform(found, T.token_texts)
+    rows = F.flatten(F.transform(found, lambda tokens, i: F.transform(tokens, lambda t: F.struct(i.alias("sent"), t.alias("token")))))
     t = docs.select(key, F.posexplode(rows).alias("pos", "x")).select(key, "pos", "x.sent", "x.token")
     t = embedder.embed(t.withColumn("slice", F.floor(F.col("pos") / slice_tokens)), [key, "slice"])
     return pooling.pool(t, [key, "sent"], "embedding", dim, method, extra={"n_tokens": F.count(F.lit(1))})

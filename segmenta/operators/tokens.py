@@ -48,9 +48,10 @@ def windows(n: Column, config: WindowConfig) -> Column:
     return F.when(n > 0, made).otherwise(F.filter(made, lambda x: F.lit(False)))
 
 
-def window_rows(docs: DataFrame, config: WindowConfig, key: str = "doc_id", text: str = "text") -> DataFrame:
+def window_rows(docs: DataFrame, config: WindowConfig, key: str = "doc_id", text: str = "text", tokenizer=None) -> DataFrame:
     """A row for each window: its span, what it owns, its tokens and its text, which is the slice of the source."""
-    d = docs.select(key, F.col(text).alias("text"), T.token_texts(F.col(text)).alias("tokens"))
+    cut = tokenizer.tokens if tokenizer else T.token_texts
+    d = docs.select(key, F.col(text).alias("text"), cut(F.col(text)).alias("tokens"))
     d = d.select(key, "tokens", F.explode(windows(F.size("tokens"), config)).alias("w"))
     return d.select(key, "w.*", F.slice("tokens", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("tokens"))
 

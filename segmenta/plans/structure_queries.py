@@ -18,7 +18,6 @@ FIXTURE = [
     "iv", "V", "1st place", "2nd place", "[12] bracket", "Chapter One", "This line is longer than the heading above it and ends here.", "ALL CAPS HEADING", "short", "Mixed case Heading",
     "A very long line without an end that has more than fifty characters in all", "x.", "1", "2", "10", "11) eleven", "12 twelve",
 ]
-PHRASE_WORDS, PHRASES = 3, 5
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +79,8 @@ def split_scores(spark, sf_dir):
 
 
 def _phrases(spark, sf_dir) -> list[str]:
-    """The list of phrases is a parameter: the first words of a few benchmark items."""
-    rows = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(PHRASES).collect()
-    return [" ".join(r["text"].split()[:PHRASE_WORDS]) for r in rows]
+    """The list of phrases is a parameter: the whole texts of all benchmark items."""
+    return [r["text"] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").collect()]
 
 
 def phrase_search(spark, sf_dir):

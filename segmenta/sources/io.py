@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,16 @@ ELEMENT = (
 FORMATS = ("txt", "json")
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; below a temporary folder only where the master is local and none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="segmenta-")
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, text, file_directory, filename, last_modified)``, a row for each UTF-8 file."""
     m = F.col("_metadata")

@@ -231,6 +231,28 @@ def test_phrases(spark):
     assert [r["phrases_condition"] for r in d.orderBy("pos").collect()] == [0, 0, 0, 0, 0, 10.0, 0]
 
 
+def test_phrases_against_every_place(spark):
+    rng = random.Random(11)
+    vocabulary = ["river", "rivers", "mountain", "mountains", "stone", "stones", "light", "night", "bright", "a", "an", "the", "of"]
+    texts = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 60))] for _ in range(60)]
+    phrases = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 8))) for _ in range(25)] + ["", "!!!"]
+    rows = [(k, p, " ".join(t[p * 7 : p * 7 + 7])) for k, t in enumerate(texts) for p in range(-(-len(t) // 7))]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, text string")
+    for threshold in (0.8, 0.65, 1.0):
+        want = set()
+        for k, t in enumerate(texts):
+            for n, p in enumerate(phrases):
+                w = p.replace("!", "").split()
+                scores = [(sum(scoring.word_similarity(x, y) for x, y in zip(w, t[s : s + len(w)], strict=True)) / len(w), -s) for s in range(len(t) - len(w) + 1) if w]
+                if scores and max(scores)[0] >= threshold:
+                    score, back = max(scores)
+                    want.add((k, n, -back // 7, (len(w) - 1 - back) // 7, round(score, 9)))
+        got = {(r["doc_id"], r["phrase"], r["first"], r["last"], round(r["score"], 9)) for r in scoring.phrase_hits(df, phrases, threshold=threshold).collect()}
+        assert got == want and want
+    with pytest.raises(ValueError, match="threshold"):
+        scoring.phrase_hits(df, phrases, threshold=0.0)
+
+
 @pytest.mark.parametrize(("tokens", "factor"), [(29, 0), (30, 0.3), (400, 1.0), (800, 0.3), (801, 0)])
 def test_size_factor(tokens, factor):
     d = splits.Document([tokens], [10.0], SplitConfig())
