@@ -1,19 +1,22 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
 A tree's levels have halving radii: a node covers its points within its radius (measured, so it is exact), and its
-children are a net of them at half that radius.  Two trees are traversed together.  A pair of nodes is dropped if its centres are
-farther apart than both radii and the threshold; it is taken as a whole if even its farthest points link; otherwise the
-wider node is opened, down to leaves, whose points are compared by one matrix product in double precision.  The metric is
-the chord between unit vectors: a cosine of c is a chord of sqrt(2 - 2 c).
-
-The upper levels are common to all tasks: pivots, fitted on a bounded sample in tree order (coarse nets first).  Every vector
-goes to the cell of its nearest pivot; cells have exact covering radii, and pairs of cells out of reach are never formed.
-A cell, however large, is dealt into blocks of a fixed size by hash.  A pair of blocks is one group, which gives each vector a
+children are a net of them at half that radius, however many these are.  Two trees are traversed together.  A pair of nodes is dropped if its centres are
+farther apart than both radii and the threshold; it is taken as a whole if even its farthest points link; otherwise
+it is opened: the children of one are met with those of the other by one product of their centres, down to leaves, whose points are
+compared in double precision.  The metric is the chord between unit vectors: a cosine of c is a chord of sqrt(2 - 2 c).
+
+The upper levels are common to all tasks: pivots, fitted on a bounded sample.  Every vector
+goes to the cell of its nearest pivot; cells have exact covering radii, and stand in the order in which a cover tree over the pivots
+visits them.  Neighbouring small cells share a block; a cell of more vectors than a block is dealt out by hash.  Pairs of blocks of which no
+cells are in reach of each other are never formed.  A pair of blocks is one group, which gives each vector a
 count of links and joins what is linked by spanning stars; pairs of vectors are never listed.  Equal vectors are one point
 with a mass."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +30,8 @@ THRESHOLD = 0.95
 BLOCK = 4096
 SAMPLE, PIVOTS = 4096, 512
 TASK_PAIRS = 1 << 26
-#: Points in a leaf, and the share of a node's points that a net may have before the node is left as a leaf.
-LEAF, NET_SHARE = 48, 1 / 16
+#: Points in a leaf; points that are offered to a net at once.
+LEAF, OFFERED = 8, 256
 SLACK = 1e-9
 ROWS = 512
 
@@ -48,31 +51,50 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Node:
-    __slots__ = ("centre", "radius", "points", "children")
+    __slots__ = ("centre", "radius", "points", "children", "centres", "radii")
 
-    def __init__(self, centre: np.ndarray, radius: float, points: np.ndarray, children: list[Node]):
+    def __init__(self, centre: int, radius: float, points: np.ndarray, children: list[Node]):
         self.centre, self.radius, self.points, self.children = centre, radius, points, children
+        self.centres, self.radii = np.array([c.centre for c in children], np.int64), np.array([c.radius for c in children])
+
+    def levels(self) -> int:
+        return 1 + max((c.levels() for c in self.children), default=0)
+
+
+def net(x: np.ndarray, points: np.ndarray, apart: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a net among ``points``: farther than ``apart`` from each other, and each point within it of one; all points in another order, and the nearest of
+    the net for each.  Points are offered in order, many at a time, which makes the work a few matrix products."""
+    within, chosen, inner = 1 - apart * apart / 2, points[:1], []  # as a cosine
+    for at in range(1, len(points), OFFERED):
+        some = points[at : at + OFFERED]
+        far = (x[some] @ x[chosen].T).max(axis=1) < within
+        some, near = some[far], (x[some[far]] @ x[some[far]].T) >= within
+        inner.append(points[at : at + OFFERED][~far])
+        new, taken = np.zeros(len(some), bool), np.zeros(len(some), bool)
+        for k in range(len(some)):
+            if not taken[k]:
+                new[k] = True
+                taken |= near[k]
+        chosen = np.concatenate([chosen, some[new]])
+        inner.append(some[~new])
+    rest = np.concatenate([*inner, points[:0]])
+    of = [(x[rest[at : at + ROWS]] @ x[chosen].T).argmax(axis=1) for at in range(0, len(rest), ROWS)]
+    return chosen, np.concatenate([chosen, rest]), np.concatenate([np.arange(len(chosen)), *of])
 
 
 def cover_tree(x: np.ndarray, points: np.ndarray | None = None, centre: int | None = None) -> Node:
     """The tree over the rows ``points`` of ``x`` (unit vectors)."""
     points = np.arange(len(x)) if points is None else points
     centre = int(points[0]) if centre is None else centre
-    d = distances(x[centre : centre + 1], x[points])[0]
-    radius = float(d.max())
+    radius = float(distances(x[centre : centre + 1], x[points]).max()) if len(points) > 1 else 0.0
     if len(points) <= LEAF or radius <= SLACK:
-        return Node(x[centre], radius, points, [])
-    most, net = max(8, int(len(points) * NET_SHARE)), [centre]
-    near, of = d, np.zeros(len(points), np.int64)
-    while near.max() > radius / 2:  # a net: its points are more than half the radius apart
-        if len(net) >= most:
-            return Node(x[centre], radius, points, [])
-        far = int(near.argmax())
-        d = distances(x[points[far] : points[far] + 1], x[points])[0]
-        of[d < near], near = len(net), np.minimum(near, d)
-        net.append(int(points[far]))
-    children = [cover_tree(x, points[of == k], c) for k, c in enumerate(net)]
-    return Node(x[centre], radius, points, children)
+        return Node(centre, radius, points, [])
+    at = np.flatnonzero(points == centre)
+    points = np.concatenate([points[at], np.delete(points, at)])  # the centre is in the net
+    chosen, points, of = net(x, points, radius / 2)
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(len(chosen) + 1))
+    return Node(centre, radius, points, [cover_tree(x, points[order[a:b]], int(c)) for a, b, c in zip(cuts[:-1], cuts[1:], chosen, strict=True)])
 
 
 class Links:
@@ -80,6 +102,8 @@ class Links:
 
     def __init__(self, mass: np.ndarray):
         self.mass, self.links, self.label = mass, np.zeros(len(mass), np.int64), np.arange(len(mass))
+        #: Pairs of centres that were met, and pairs of points that were compared in leaves.
+        self.met, self.compared = 0, 0
 
     def whole(self, a: np.ndarray, b: np.ndarray) -> None:
         """Every point of ``a`` links with every point of ``b`` (disjoint sets)."""
@@ -96,6 +120,7 @@ class Links:
             rows = a[at : at + ROWS]
             cols = b[at:] if own else b
             hit = x[rows] @ x[cols].T >= cosine
+            self.compared += hit.size
             i, j = np.nonzero(hit)
             if own:
                 later = j > i
@@ -117,32 +142,71 @@ def dual_traversal(x: np.ndarray, mass: np.ndarray, a: Node, b: Node | None, cos
             elif not a.children:
                 out.compare(x, a.points, a.points, cosine, own=True)
             else:
-                todo.extend((c, None) for c in a.children)
-                todo.extend((c, e) for k, c in enumerate(a.children) for e in a.children[:k])
-            continue
-        d = float(np.sqrt(max(0.0, 2 - 2 * float(a.centre @ b.centre))))
-        if d - a.radius - b.radius > reach + SLACK:
-            continue
-        if d + a.radius + b.radius <= reach - SLACK:
-            out.whole(a.points, b.points)
+                todo.extend((c, None) for c in a.children if len(c.points) > 1)
+                todo.extend(_met(x, out, a, a, reach, own=True))
         elif not a.children and not b.children:
             out.compare(x, a.points, b.points, cosine, own=False)
-        elif not b.children or (a.children and a.radius >= b.radius):
-            todo.extend((c, b) for c in a.children)
         else:
-            todo.extend((a, c) for c in b.children)
+            todo.extend(_met(x, out, a, b, reach, own=False))
     return out
 
 
+def _met(x: np.ndarray, out: Links, a: Node, b: Node, reach: float, own: bool) -> list[tuple[Node, Node]]:
+    """Pairs of children of the two nodes that neither bound decides (a leaf, or the smaller of two very unlike nodes, is its own child)."""
+    if not own and a.children and b.children and max(a.radius, b.radius) > 2 * min(a.radius, b.radius):
+        one, other = ([a], b.children) if a.radius < b.radius else (a.children, [b])
+    else:
+        one, other = a.children or [a], b.children or [b]
+    left, left_radii = (a.centres, a.radii) if one is a.children else (np.array([a.centre]), np.array([a.radius]))
+    right, right_radii = (b.centres, b.radii) if other is b.children else (np.array([b.centre]), np.array([b.radius]))
+    found, widest = [], float(right_radii.max())
+    for at in range(0, len(one), ROWS):
+        skip = at if own else 0
+        cosines = x[left[at : at + ROWS]] @ x[right[skip:]].T
+        out.met += cosines.size
+        far = left_radii[at : at + ROWS] + widest + reach + SLACK  # no pair of a row is nearer than this if its cosine is below the bound
+        i, j = np.nonzero(cosines >= (1 - far * far / 2)[:, None])
+        d, j = np.sqrt(np.maximum(0.0, 2 - 2 * cosines[i, j])), j + skip
+        if own:
+            i, j, d = i[j > i + at], j[j > i + at], d[j > i + at]
+        radii = left_radii[i + at] + right_radii[j]
+        kept = d - radii <= reach + SLACK
+        i, j, d, radii = i[kept], j[kept], d[kept], radii[kept]
+        sure = d + radii <= reach - SLACK
+        for k, m, whole in zip((i + at).tolist(), j.tolist(), sure.tolist(), strict=True):
+            if whole:
+                out.whole(one[k].points, other[m].points)
+            else:
+                found.append((one[k], other[m]))
+    return found
+
+
 def pivot_order(x: np.ndarray, most: int) -> np.ndarray:
-    """Up to ``most`` rows of ``x``, so that the first ones are a coarse net and each next one is the farthest from those before
-    (radii fall from level to level); it stops where all points are covered closely."""
+    """Up to ``most`` rows of ``x``, each the farthest from those before (a net whose radius falls), in the order in which a cover tree over them visits them."""
     order, near = [0], distances(x[:1], x)[0]
     while len(order) < most and near.max() > SLACK:
         far = int(near.argmax())
         near = np.minimum(near, distances(x[far : far + 1], x)[0])
         order.append(far)
-    return np.array(order)
+    rows, visited, todo = np.array(order), [], [cover_tree(x[order])]
+    while todo:
+        node = todo.pop()
+        visited.extend(node.points if not node.children else ())
+        todo.extend(reversed(node.children))
+    return rows[visited]
+
+
+def blocks_of(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: cells in order share a block while it holds them, and a larger one has blocks of its own."""
+    first, count, now, used = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), 0, 0
+    for c, n in enumerate(sizes.tolist()):
+        if used and used + n > block:
+            now, used = now + 1, 0
+        first[c], count[c] = now, max(1, -(-n // block))
+        used += n
+        if used >= block:
+            now, used = now + int(count[c]), 0
+    return first, count
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -163,7 +227,7 @@ def link(points: DataFrame, cosine: float = THRESHOLD, block: int = BLOCK) -> Da
         return spark.createDataFrame([], empty)
     x = unit(np.stack(sample["v"].to_numpy()))
     n = points.count()
-    sent = spark.sparkContext.broadcast(x[pivot_order(x, min(PIVOTS, parts_for(n, block)))])
+    sent = spark.sparkContext.broadcast(x[pivot_order(x, min(PIVOTS, 8 * parts_for(n, block)))])
 
     def cells(batches):
         for b in batches:
@@ -178,31 +242,34 @@ def link(points: DataFrame, cosine: float = THRESHOLD, block: int = BLOCK) -> Da
     sizes, radii = np.zeros(pivots, np.int64), np.zeros(pivots)
     for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect():  # at most PIVOTS rows
         sizes[r["cell"]], radii[r["cell"]] = r["n"], r["r"]
-    blocks = -(-sizes // block)
+    first, count = blocks_of(sizes, block)
     apart = distances(sent.value, sent.value) - radii[:, None] - radii
     near = (apart <= chord(cosine) + SLACK) & (sizes > 0) & (sizes[:, None] > 0)
-    info = spark.sparkContext.broadcast((blocks, near))
-    n_blocks = F.array(*[F.lit(int(k)) for k in blocks])
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.get(n_blocks, F.col("cell"))).cast("int"))
-    packed = dealt.groupBy("cell", "block").agg(F.collect_list(F.struct("node", "mass", "v")).alias("rows"))
+    total = int((first + count).max())
+    reach = np.zeros((total, total), bool)  # blocks of which some cells are near each other; at most pivots and n / block a side
+    for c, e in zip(*np.nonzero(near), strict=True):
+        reach[first[c] : first[c] + count[c], first[e] : first[e] + count[e]] = True
+    info = spark.sparkContext.broadcast(reach)
+    at, of = F.array(*[F.lit(int(k)) for k in first]), F.array(*[F.lit(int(k)) for k in count])
+    dealt = dealt.withColumn("block", (F.get(at, F.col("cell")) + F.pmod(F.xxhash64("node"), F.get(of, F.col("cell")))).cast("int"))
+    packed = dealt.groupBy("block").agg(F.collect_list(F.struct("node", "mass", "v")).alias("rows"))
 
     def pairs(batches):
-        blocks, near = info.value
         for b in batches:
             for k in range(b.num_rows):
-                me = (b.column(0)[k].as_py(), b.column(1)[k].as_py())
-                others = [(int(c), t) for c in np.flatnonzero(near[me[0]]) for t in range(int(blocks[c]))]
-                keys = [(*min(me, o), *max(me, o)) for o in others]
-                cols = [pa.array(c, pa.int32()) for c in zip(*keys, strict=True)]
-                side = pa.array([int(o < me) for o in others], pa.int32())
-                for at in range(0, len(keys), 8):  # a block's rows come again for each partner
-                    m = min(8, len(keys) - at)
-                    yield pa.RecordBatch.from_arrays([*(c.slice(at, m) for c in cols), side.slice(at, m), b.column(2).take(pa.array([k] * m))], ["c1", "b1", "c2", "b2", "side", "rows"])
+                me = b.column(0)[k].as_py()
+                others = np.flatnonzero(info.value[me])
+                low, high = np.minimum(others, me).astype(np.int32), np.maximum(others, me).astype(np.int32)
+                side = (others < me).astype(np.int32)
+                for at in range(0, len(others), 8):  # a block's rows come again for each partner
+                    m = slice(at, at + 8)
+                    rows = b.column(1).take(pa.array([k] * len(others[m])))
+                    yield pa.RecordBatch.from_arrays([pa.array(low[m]), pa.array(high[m]), pa.array(side[m]), rows], ["b1", "b2", "side", "rows"])
 
     rows_kind = packed.schema["rows"].dataType.simpleString()
     compared = sum(int(sizes[c]) * int(sizes[near[c]].sum()) for c in range(pivots)) // 2
-    met = packed.mapInArrow(pairs, f"c1 int, b1 int, c2 int, b2 int, side int, rows {rows_kind}")
-    met = met.repartition(parts_for(compared, TASK_PAIRS, spark.sparkContext.defaultParallelism), "c1", "b1", "c2", "b2")
+    met = packed.select("block", "rows").mapInArrow(pairs, f"b1 int, b2 int, side int, rows {rows_kind}")
+    met = met.repartition(parts_for(compared, TASK_PAIRS, spark.sparkContext.defaultParallelism), "b1", "b2")
 
     def traverse(table: pa.Table) -> pa.Table:
         got = {}
@@ -218,23 +285,23 @@ def link(points: DataFrame, cosine: float = THRESHOLD, block: int = BLOCK) -> Da
         k = np.flatnonzero((found.links > 0) | (found.label != np.arange(len(x))))
         return pa.table({"node": pa.array(node[k]), "root": pa.array(node[found.label[k]]), "links": pa.array(found.links[k])})
 
-    return met.groupBy("c1", "b1", "c2", "b2").applyInArrow(traverse, empty)
+    return met.groupBy("b1", "b2").applyInArrow(traverse, empty)
 
 
 def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``(key, n_links, component_id, kept)`` for every row.
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or aren't of the table's length (the most
-    frequent; of equally frequent ones the greatest) link with nothing.  Rows with equal vectors are linked, repeated rows too.  The
-    component of rows without any key is null, and such rows aren't kept."""
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and vectors link with those
+    of their own length alone.  Rows with equal vectors are linked, repeated rows too.  The
+    component of rows without any key is null, and such rows aren't kept.  An empty table gives no rows."""
     rows = table.select(F.col(key).alias("key"), F.col(vector).alias("v"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    ok = F.coalesce(F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda e: e != 0), F.lit(False))
-    dims = rows.where(ok).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    fit = ok & (F.size("v") == (dims["dim"] if dims else 0))
+    fit = F.coalesce(F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda e: e != 0), F.lit(False))
     groups = rows.where(fit).groupBy("v").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("mass"))
     points = materialise(groups.withColumn("node", F.monotonically_increasing_id()), "cover-points")
-    found = materialise(link(points.select("node", "v", "mass"), cosine, block), "cover-links")
+    lengths = [r[0] for r in points.select(F.size("v")).distinct().collect()]  # of the models that made the vectors: few
+    found = [link(points.where(F.size("v") == n).select("node", "v", "mass"), cosine, block) for n in sorted(lengths)]
+    found = materialise(reduce(DataFrame.unionByName, found, table.sparkSession.createDataFrame([], "node long, root long, links long")), "cover-links")
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "node_")
     links = found.groupBy(F.col("node").alias("n")).agg(F.sum("links").alias("links"))
     p = points.join(links, F.col("node") == F.col("n"), "left").join(roots, F.col("node") == F.col("node_"), "left")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from segmenta.llm import covertree
@@ -64,3 +65,53 @@ def test_traversal_takes_and_drops_nodes_whole():
     two = covertree.dual_traversal(x, mass, covertree.cover_tree(x, np.arange(half)), covertree.cover_tree(x, np.arange(half, len(x))))
     hit[:half, :half] = hit[half:, half:] = False
     assert (two.links == hit @ mass).all()
+
+
+def test_lengths_are_linked_apart(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0])]
+    got = covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
+    assert [(r["n_links"], r["component_id"]) for r in got] == [(1, 1), (1, 1), (1, 3), (1, 3), (0, 5)]
+
+
+def nodes(node):
+    yield node
+    for c in node.children:
+        yield from nodes(c)
+
+
+def test_a_tree_is_nested_nets_with_halving_radii():
+    rng = np.random.default_rng(4)
+    x = covertree.unit(np.concatenate([c + rng.normal(size=(150, 6)) * s for c, s in zip(rng.normal(size=(5, 6)), (0.01, 0.05, 0.1, 0.5, 1.0), strict=True)]))
+    root = covertree.cover_tree(x)
+    assert root.levels() > 3
+    for node in nodes(root):
+        d = covertree.distances(x[[node.centre]], x[node.points])[0]
+        assert node.centre in node.points and d.max() <= node.radius + 1e-7
+        if node.children:
+            assert sorted(p for c in node.children for p in c.points) == sorted(node.points)
+            assert all(c.radius <= node.radius / 2 + 1e-7 for c in node.children)
+            between = covertree.distances(x[node.centres], x[node.centres]) + 9 * np.eye(len(node.centres))
+            assert between.min() > node.radius / 2 - 1e-7
+
+
+def test_the_given_vectors_go_through_the_tree():
+    v = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist()
+    x = covertree.unit(np.unique(np.array(v, np.float64), axis=0))
+    root = covertree.cover_tree(x)
+    found = covertree.dual_traversal(x, np.ones(len(x), np.int64), root, None)
+    hit = x @ x.T >= 0.95
+    np.fill_diagonal(hit, False)
+    assert root.levels() >= 2 and (found.links == hit.sum(axis=1)).all()
+    assert found.compared < 0.01 * len(x) ** 2 / 2  # the bounds decide the rest
+
+
+def test_clustered_vectors_are_pruned_above_the_leaves():
+    rng = np.random.default_rng(6)
+    x = covertree.unit(np.concatenate([c + rng.normal(size=(400, 16)) * 0.02 for c in rng.normal(size=(10, 16))]))
+    found = covertree.dual_traversal(x, np.ones(len(x), np.int64), covertree.cover_tree(x), None)
+    assert found.met + found.compared < 0.1 * len(x) ** 2 / 2
+
+
+def test_blocks_follow_the_cells():
+    first, count = covertree.blocks_of(np.array([3, 4, 0, 5, 30, 1, 2]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 2, 5, 5] and count.tolist() == [1, 1, 1, 1, 3, 1, 1]
