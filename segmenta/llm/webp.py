@@ -731,8 +731,15 @@ def shape_of(n: int) -> tuple[int, int]:
     return -(-n // width), width
 
 
-def encode_samples(payload: bytes) -> bytes:
-    """8-bit samples, a positive multiple of 64 of them, as a WebP file: grey values in green, palette, back-references."""
+#: Samples of the largest image; more are stored in several, one file after the other.
+FRAME = MAX_SIDE * MAX_SIDE
+
+
+def encode_samples(payload: bytes, frame: int = FRAME) -> bytes:
+    """8-bit samples, a positive multiple of 64 of them, as a WebP file: grey values in green, palette, back-references.  More than
+    ``frame`` samples (which must fill an image) are several files in a row."""
+    if len(payload) > frame:
+        return b"".join([encode_samples(payload[k : k + frame], frame) for k in range(0, len(payload), frame)])
     h, w = shape_of(len(payload))
     padded = payload + b"\0" * (h * w - len(payload))
     samples = np.frombuffer(padded, np.uint8).reshape(h, w)
@@ -744,8 +751,13 @@ def encode_samples(payload: bytes) -> bytes:
 
 
 def decode_samples(data: bytes) -> np.ndarray:
-    """The samples (height x width, uint8) of a WebP file whose green channel holds them."""
-    return (decode(data) >> 8 & 0xFF).astype(np.uint8)
+    """The samples (height x width, uint8) of a WebP file whose green channel holds them; of several files in a row as one array, 64 wide."""
+    found, at = [], 0
+    while not found or data[at : at + 4] == b"RIFF":
+        size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        found.append((decode(data if size >= len(data) else data[at : at + size]) >> 8 & 0xFF).astype(np.uint8))
+        at += size
+    return found[0] if len(found) == 1 else np.concatenate([x.ravel() for x in found]).reshape(-1, 64)
 
 
 def feature(samples: np.ndarray) -> str:
@@ -783,7 +795,7 @@ def encode_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """``(key, n_bytes, media)`` for every row: the text's bytes, padded with zeros to a positive multiple of 64, as a WebP file.
 
     A null text is empty: 64 zeros.  Keys are integers; null ones and repeated rows are kept; other columns aren't looked at.  A text of more than
-    2**28 bytes is an error."""
+    2**28 bytes has several files in a row."""
 
     def make(key, text):
         n, payload = payload_of(text)

@@ -72,3 +72,12 @@ def test_rows(odd, none, small):
         assert sorted(str(tuple(r)[:5]) for r in got) == sorted(want)
         assert all(r["media_bytes"] > 0 and r["feature"] for r in got)
     assert W.decode_media(W.encode_media(none)).count() == 0
+
+
+def test_payloads_beyond_one_image_are_several_files():
+    for n in (64, 640, 704, 1984):
+        payload = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        media = W.encode_samples(payload, frame=640)
+        assert media.count(b"WEBPVP8L") == -(-n // 640)
+        assert W.decode_samples(media).tobytes()[:n] == payload
+    assert W.FRAME == np.prod(W.shape_of(W.FRAME))
