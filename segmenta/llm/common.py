@@ -74,6 +74,11 @@ def parts_for(size: int, per_part: int, least: int = 1) -> int:
     return max(least, -(-int(size) // per_part))
 
 
+def _let(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once, however often it stands in ``f``."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _times(a: Column, factor: int) -> Column:
     """a * factor modulo 2**32, for 0 <= a < 2**32, without overflow."""
     low, high = a * (factor & 0xFFFF), (a * (factor >> 16)).bitwiseAND(0xFFFF)
@@ -84,16 +89,25 @@ def hashed_to(part: Column) -> Column:
     """An int that Spark's hash partitioning by one int column sends to partition ``part``, of any number above: the number whose hash
     (Murmur3 with seed 42, a bijection of 32 bits) is ``part``.  So groups numbered from 0 fill their partitions evenly."""
     inverse = lambda m: pow(m, -1, 1 << 32)
-    right = lambda x, k: F.shiftrightunsigned(x, k)
+    right = F.shiftrightunsigned
     turned = lambda x, k: right(x, k).bitwiseOR(F.shiftleft(x.bitwiseAND((1 << k) - 1), 32 - k))
-    h = part.cast("long")
-    h = _times(h.bitwiseXOR(right(h, 16)), inverse(0xC2B2AE35))
-    h = _times(h.bitwiseXOR(right(h, 13)).bitwiseXOR(right(h, 26)), inverse(0x85EBCA6B))
-    h = h.bitwiseXOR(right(h, 16)).bitwiseXOR(F.lit(4).cast("long"))
-    h = _times((h + ((1 << 32) - 0xE6546B64)).bitwiseAND(0xFFFFFFFF), inverse(5))
-    k = _times(turned(h, 13).bitwiseXOR(F.lit(42).cast("long")), inverse(0x1B873593))
-    k = _times(turned(k, 15), inverse(0xCC9E2D51))
-    return F.when(k >= 1 << 31, k - (1 << 32)).otherwise(k).cast("int")
+    steps = [
+        lambda h: h.bitwiseXOR(right(h, 16)),
+        lambda h: _times(h, inverse(0xC2B2AE35)),
+        lambda h: h.bitwiseXOR(right(h, 13)).bitwiseXOR(right(h, 26)),
+        lambda h: _times(h, inverse(0x85EBCA6B)),
+        lambda h: h.bitwiseXOR(right(h, 16)).bitwiseXOR(F.lit(4).cast("long")),
+        lambda h: _times((h + ((1 << 32) - 0xE6546B64)).bitwiseAND(0xFFFFFFFF), inverse(5)),
+        lambda h: turned(h, 13).bitwiseXOR(F.lit(42).cast("long")),
+        lambda k: _times(k, inverse(0x1B873593)),
+        lambda k: turned(k, 15),
+        lambda k: _times(k, inverse(0xCC9E2D51)),
+        lambda k: F.when(k >= 1 << 31, k - (1 << 32)).otherwise(k),
+    ]
+    x = part.cast("long")
+    for step in steps:
+        x = _let(x, step)
+    return x.cast("int")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import bounded_batches, parts_for, text_bytes
+from segmenta.llm.common import bounded_batches, hashed_to, parts_for, text_bytes
 
 ALPHA = 0.1
 #: Weight of the unigram model in a history, in observations.
 PRIOR = 500.0
-#: Text bytes of a bucket, on average; there are as many ranges as buckets.
-BUCKET_BYTES = 16 << 20
+#: Text bytes of a bucket, on average; buckets for each range of hashes.
+BUCKET_BYTES, RANGE_BUCKETS = 16 << 20, 2
 #: Words hashed once by a worker, before it starts anew.
 MEMO_WORDS = 400_000
 END, START = xxhash.xxh3_64_intdigest(b"\n"), xxhash.xxh3_64_intdigest(b"\n\n")  # no word holds a newline
@@ -225,14 +225,15 @@ def score(docs: DataFrame, training, key: str = "doc_id", text: str = "text", bu
     bounded_batches(spark)
     d = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     parts = parts_for(text_bytes(d, "text"), bucket_bytes, spark.sparkContext.defaultParallelism)
-    total, distinct = totals(d, parts)
-    dealt = d.withColumn("bucket", F.pmod(F.xxhash64("key", "text"), F.lit(parts)).cast("int")).repartition(parts, "bucket")
+    ranges = parts_for(parts, RANGE_BUCKETS, min(parts, spark.sparkContext.defaultParallelism))
+    total, distinct = totals(d, ranges)
+    dealt = d.withColumn("bucket", hashed_to(F.pmod(F.xxhash64("key", "text"), F.lit(parts)))).repartition(parts, "bucket")
 
     def count(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([])
         b, bucket = Bucket(_texts(table), _training(table)), table["bucket"][0].as_py()
-        return _table(_packed(0, b.words, parts, bucket) + _packed(1, b.pairs, parts, bucket))
+        return _table(_packed(0, b.words, ranges, bucket) + _packed(1, b.pairs, ranges, bucket))
 
     def answer(table: pa.Table) -> pa.Table:
         keys, counts, rows = _merge(table)
@@ -250,7 +251,7 @@ def score(docs: DataFrame, training, key: str = "doc_id", text: str = "text", bu
     def traverse(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         b = Bucket(_texts(docs_), _training(docs_))
         for k, part, places, counts in zip(*(answers[c].to_pylist() for c in ("kind", "part", "keys", "counts")), strict=True):
-            (b.pairs if k else b.words).overlay(part, parts, *unpack(places, counts))
+            (b.pairs if k else b.words).overlay(part, ranges, *unpack(places, counts))
         a = BackoffAutomaton(b, total, distinct, prior)
         model, base = a.scores()
         known = np.add.reduceat((b.words.counts[a.word] > 0).astype(np.int64), a.first) if len(a.first) else np.zeros(0, np.int64)
