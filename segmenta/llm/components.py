@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import materialise
+from segmenta.llm.common import dropped, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,18 +21,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nodes = materialise(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "cc-nodes")
     e = materialise(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     while not e.isEmpty():
+        done = [nodes, e]  # tables that nothing reads after the round
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
         for _ in range(2):
             up = materialise(up, "cc-up")
+            done.append(up)
             over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
             up = up.join(over, "up").select("node", F.col("over").alias("up"))
         up = materialise(up, "cc-up")
+        done.append(up)
         nodes = materialise(
             nodes.join(up.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "cc-nodes"
         )
         e = e.join(up.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
         e = materialise(e.where("ua <> ub").select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b")).distinct(), "cc-edges")
+        for table in done:
+            dropped(table)
+    dropped(e)
     return nodes
 
 
