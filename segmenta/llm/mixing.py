@@ -30,8 +30,8 @@ BLOCK_WORDS = 1024
 SHARD_SLOTS = 4096
 SEED = 17
 ROUNDS = 24
-#: Rows of a source in one bucket, on average.
-BUCKET_ROWS = 5_000
+#: Rows of a source in one bucket, on average; sources with a smaller share of all rows than one in so many are dealt into as many buckets as that share needs.
+BUCKET_ROWS, LISTED = 2_000, 10_000
 #: Cells of the table that finds a draw's source, for each source.
 CELLS = 16
 #: Rows and bytes of names up to which the table of sources goes to every task.
@@ -72,19 +72,21 @@ def sized(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), *_exact(F.col(source)), F.xxhash64(t).alias("h"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"))
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("key", "h"), F.lit(buckets)).alias("bucket")
-
-
-def _dealt(base: DataFrame) -> int:
-    return parts_for(base.count(), BUCKET_ROWS)
+def _dealt(df: DataFrame, base: DataFrame) -> DataFrame:
+    """``df`` (with source, ``key`` and ``h``) and ``bucket``: a source has buckets by its rows in ``base``.  Sources with a ten-thousandth
+    of all rows are listed for every task, so the list is bounded whatever the number of sources."""
+    total = base.count()
+    listed = base.groupBy(*SOURCE).count().where(F.col("count") > max(BUCKET_ROWS, total // LISTED))
+    listed = F.broadcast(listed.select(*SOURCE, F.ceil(F.col("count") / BUCKET_ROWS).alias("buckets")))
+    buckets = F.coalesce("buckets", F.lit(parts_for(total // LISTED, BUCKET_ROWS)))
+    return df.join(listed, SOURCE, "left").withColumn("bucket", F.pmod(F.xxhash64("key", "h"), buckets)).select(*df.columns, "bucket")
 
 
 def placed(base: DataFrame) -> DataFrame:
     """``base`` with its bucket and ``start``, the words before it in the bucket's part of its source.  The order is by key and text hash;
     rows that tie in these are alike."""
     w = Window.partitionBy(*SOURCE, "bucket").orderBy("key", "h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    return base.select("*", _bucket(_dealt(base))).withColumn("start", F.sum("size").over(w) - F.col("size"))
+    return _dealt(base, base).withColumn("start", F.sum("size").over(w) - F.col("size"))
 
 
 def bucket_blocks(base: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
@@ -177,14 +179,15 @@ def block_slots(plan: DataFrame, buckets: DataFrame, slots: DataFrame, block: in
     whole = buckets.where("full > 0").select(*SOURCE, F.lit(False).alias("short"), "first_full", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("block"), F.lit(block).cast("long").alias("n"))
     whole = whole.withColumn("number", F.col("first_full") + F.col("block")).drop("first_full")
     rest = buckets.where("rest > 0").select(*SOURCE, F.lit(True).alias("short"), F.col("first_short").alias("number"), "bucket", F.col("full").alias("block"), F.col("rest").alias("n"))
-    j = j.join(whole.unionByName(rest), [*SOURCE, "short", "number"])
+    # as many rows as blocks, which no estimate knows before the explosion: not to be broadcast
+    j = j.join(whole.unionByName(rest).hint("merge"), [*SOURCE, "short", "number"])
     return j.select(*SOURCE, _source(), "shard", "slot", "epoch", "bucket", "block", F.coalesce("cut", "n").cast("long").alias("words"))
 
 
 def taken_ranges(base: DataFrame, reads: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """``(key, source, h, size, bucket, start, from, to, copy)``: the words that the mix takes of each document, by copy."""
     epoch_reads = reads.groupBy(*SOURCE, "bucket", "block").agg(F.sort_array(F.collect_list("words"), asc=False).alias("reads"))
-    pieces = base.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
+    pieces = base.where("size > 0").hint("merge").select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     j = pieces.join(epoch_reads, [*SOURCE, "bucket", "block"])
     j = j.select(*DOCUMENT, "block", F.posexplode("reads").alias("copy", "words"))
     at = F.col("block") * block
@@ -233,7 +236,7 @@ def _packed(docs: DataFrame, base: DataFrame, reads: DataFrame | None, key: str,
     blocks are packed there."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     d = docs.where(t.rlike(WORD)).select(F.col(key).alias("key"), *_exact(F.col(source)), F.xxhash64(t).alias("h"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("w"))
-    d = d.select(*SOURCE, _bucket(_dealt(base)), F.lit(0).alias("kind"), "key", "h", F.size("w").cast("long").alias("size"), F.array_join("w", " ").alias("t"))
+    d = _dealt(d.select(*SOURCE, F.lit(0).alias("kind"), "key", "h", F.size("w").cast("long").alias("size"), F.array_join("w", " ").alias("t")), base)
     read = "struct<shard:bigint,slot:bigint,words:bigint>"
     d = d.withColumn("block", F.lit(None).cast("long")).withColumn("read", F.lit(None).cast(read))
     if reads is not None:
