@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from segmenta.llm.common import bounded_batches, tidied
 
 #: Bytes of remembered words that a worker holds (twice as many at most), and states of the table before it begins anew.
-MEMO_BYTES, TABLE_STATES = 32 << 20, 1 << 17
+MEMO_BYTES, TABLE_STATES = 48 << 20, 1 << 17
 #: Ends a word's spelling where the last symbol differs from others.
 END = "\0"
 #: Output characters after which a batch is handed on, so that long texts don't pile up.
