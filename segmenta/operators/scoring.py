@@ -43,11 +43,12 @@ class PhraseIndex:
     """Phrases, and which document words could stand for their words.
 
     If a phrase's words agree by ``threshold`` on average, then at least ``(threshold - NEAR) / (1 - NEAR)`` of them agree by ``NEAR``, for
-    any NEAR below the threshold.  So places are counted by near words first, and only those with enough of them are compared in full.
-    Nothing that reaches the threshold is lost."""
+    any NEAR below the threshold.  No words agree by more than twice the characters that they share by the characters that they have.  So places are
+    counted by words that are near by this bound, which takes one matrix product for many words at once; of those with enough of them the
+    bounds are added up, and only what still reaches the threshold is compared in full.  Nothing that reaches the threshold is lost."""
 
-    #: Of the threshold, what a near word has; remembered words and pairs of words.
-    NEAR, MEMO = 0.94, 200_000
+    #: Of the threshold, what a near word has; remembered pairs of words; occurrences of a character that are told apart; words in a product; starts in a count.
+    NEAR, MEMO, OCCUR, ROWS, STARTS = 0.94, 200_000, 3, 512, 8192
 
     def __init__(self, phrases: list[str], threshold: float):
         self.threshold, self.near = threshold, threshold * self.NEAR
@@ -58,17 +59,22 @@ class PhraseIndex:
         for k, words in enumerate(self.phrases):
             for j, w in enumerate(words):
                 places.setdefault(w, []).append((k, j))
-        self.known = sorted(places)
-        self.places = {w: np.array(p, np.int64) for w, p in places.items()}
+        self.known = sorted(places, key=lambda w: (len(w), w))
+        #: Places of the known words, one after another, and where those of a word begin.
+        self.places = np.array([p for w in self.known for p in places[w]], np.int32).reshape(-1, 2)
+        self.begin = np.concatenate([[0], np.cumsum([len(places[w]) for w in self.known])]).astype(np.int64)
         self.sizes = np.array([len(w) for w in self.known], np.int64)
-        self.counts = np.stack([self._counts(w) for w in self.known]) if self.known else np.zeros((0, 64), np.uint8)
-        self.similar: dict[str, np.ndarray] = {}
+        self.shared = self._features(self.known)[0].T.copy()
         self.ratios: dict[tuple[str, str], float] = {}
 
-    @staticmethod
-    def _counts(word: str) -> np.ndarray:
-        """Characters by code modulo 64: what two words share of these is no less than what they share of characters."""
-        return np.minimum(np.bincount([ord(c) & 63 for c in word], minlength=64), 255).astype(np.uint8)
+    def _features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word: which characters by code modulo 64 it has once, twice and so on; how many it has beyond these; its length.  What two
+        words have in common of these, and what one has beyond, is no less than what they share of characters."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) & 63
+        counts = np.bincount(np.repeat(np.arange(len(words)), sizes) * 64 + codes, minlength=64 * len(words)).reshape(-1, 64)
+        has = np.concatenate([counts > n for n in range(self.OCCUR)], axis=1).astype(np.float32)
+        return has, np.maximum(counts - self.OCCUR, 0).sum(axis=1), sizes
 
     def ratio(self, phrase_word: str, word: str) -> float:
         if phrase_word == word:
@@ -79,39 +85,77 @@ class PhraseIndex:
             found = self.ratios[phrase_word, word] = word_similarity(phrase_word, word)
         return found
 
-    def stand_for(self, word: str) -> np.ndarray:
-        """(phrase, place) of every phrase word that the document word is near to."""
-        if (found := self.similar.get(word)) is None:
-            least = self.near * (self.sizes + len(word)) / 2 - 1e-6  # characters that must be shared
-            maybe = np.flatnonzero(np.minimum(self.sizes, len(word)) >= least)
-            if len(word) < 255:
-                shared = np.minimum(self.counts[maybe], self._counts(word)).sum(axis=1, dtype=np.int64)
-                maybe = maybe[(shared >= least[maybe]) | (self.sizes[maybe] >= 255)]
-            near = [self.places[w] for k in maybe.tolist() if (w := self.known[k]) == word or word_similarity(w, word) >= self.near - 1e-9]
-            found = np.concatenate(near) if near else np.zeros((0, 2), np.int64)
-            if len(self.similar) >= self.MEMO:
-                self.similar.clear()
-            self.similar[word] = found
-        return found
-
-    def hits(self, words: list[str]) -> list[tuple[int, int, int, float]]:
-        """(phrase, first word, last word, score) of the best place of each phrase, the earliest of equal ones."""
-        near = [self.stand_for(w) for w in words]
-        if not sum(map(len, near)):
-            return []
-        k, j = np.concatenate(near).T
-        start = np.repeat(np.arange(len(words)), [len(x) for x in near]) - j
+    def stand_for(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(n, places, bounds)``: how many places each word could stand at, (phrase, place) of these one word after another, and how far it can agree."""
+        n, found, bounds = np.zeros(len(words), np.int64), [self.places[:0]], [np.zeros(0, np.float32)]
+        order = np.argsort([len(w) for w in words], kind="stable")
+        for at in range(0, len(order), self.ROWS):
+            rows = order[at : at + self.ROWS]
+            has, beyond, sizes = self._features([words[i] for i in rows])
+            # lengths that leave enough to share
+            low, high = np.searchsorted(self.sizes, [sizes[0] * self.near / (2 - self.near) - 1e-6, sizes[-1] * (2 - self.near) / self.near + 1e-6])
+            shared = has @ self.shared[:, low:high]
+            shared += beyond[:, None].astype(np.float32)
+            np.minimum(shared, np.minimum(sizes[:, None], self.sizes[low:high]).astype(np.float32), out=shared)
+            i, k = np.nonzero(shared >= ((sizes[:, None] + self.sizes[low:high]) * (self.near / 2) - 1e-3).astype(np.float32))
+            bound = 2 * shared[i, k] / (sizes[i] + self.sizes[low + k]).astype(np.float32)
+            k += low
+            each = self.begin[k + 1] - self.begin[k]
+            n[rows] = np.bincount(i, weights=each, minlength=len(rows)).astype(np.int64)
+            inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            found.append(self.places[np.repeat(self.begin[k], each) + inside])
+            bounds.append(np.repeat(bound, each))
+        # back from the order of lengths to that of the words
+        places, bounds = np.concatenate(found), np.concatenate(bounds)
+        first = np.zeros(len(words), np.int64)
+        first[order] = np.cumsum(n[order]) - n[order]
+        back = _ranges(first, n)
+        return n, places[back], bounds[back]
+
+    def hits(self, words: list[str], n: np.ndarray, places: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(phrase, first word, last word, score) of the best place of each phrase, the earliest of equal ones.  The others: what ``stand_for``
+        gives for each of the words."""
+        k, j = places.T.astype(np.int64)
+        start = np.repeat(np.arange(len(words)), n) - j
         inside = (start >= 0) & (start + self.lengths[k] <= len(words))
-        at, counts = np.unique(k[inside] * (len(words) + 1) + start[inside], return_counts=True)
-        k, start = at // (len(words) + 1), at % (len(words) + 1)
-        enough = counts >= self.least[k]
+        k, start, bounds = k[inside], start[inside], bounds[inside]
         best: dict[int, tuple[float, int]] = {}
-        for k, start in zip(k[enough].tolist(), start[enough].tolist(), strict=True):
-            phrase = self.phrases[k]
-            score = sum(self.ratio(w, words[start + j]) for j, w in enumerate(phrase)) / len(phrase)
-            if score >= self.threshold and (score, -start) > best.get(k, (0.0, -len(words) - 1)):
-                best[k] = (score, -start)
-        return [(k, -back, -back + len(self.phrases[k]) - 1, score) for k, (score, back) in sorted(best.items())]
+        block = start // self.STARTS
+        cuts = [np.arange(len(k))] if len(words) <= self.STARTS else [np.flatnonzero(block == b) for b in range(int(block.max(initial=-1)) + 1)]
+        for b, rows in enumerate(cuts):
+            width = min(self.STARTS, len(words))
+            at = k[rows] * width + start[rows] - b * self.STARTS
+            counts = np.bincount(at)
+            full = np.flatnonzero(counts)
+            full = full[counts[full] >= self.least[full // width]]
+            if not len(full):
+                continue
+            # a word that is not near agrees by less than near
+            sums, size = np.bincount(at, weights=bounds[rows])[full], self.lengths[full // width]
+            full = full[sums + (size - counts[full]) * self.near >= self.threshold * size - 1e-3 * size]
+            for p, s in zip((full // width).tolist(), (full % width + b * self.STARTS).tolist(), strict=True):
+                phrase = self.phrases[p]
+                score = sum(self.ratio(w, words[s + j]) for j, w in enumerate(phrase)) / len(phrase)
+                if score >= self.threshold and (score, -s) > best.get(p, (0.0, -len(words) - 1)):
+                    best[p] = (score, -s)
+        return [(p, -back, -back + len(self.phrases[p]) - 1, score) for p, (score, back) in sorted(best.items())]
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from ``first`` on, ``n`` of each."""
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+#: Bytes of words that are looked up together.
+_TOGETHER = 4 << 20
+
+
+def _some_documents(batch: pa.RecordBatch):
+    """The batch in slices of whole documents of about so many bytes."""
+    parts = max(1, -(-batch.nbytes // _TOGETHER))
+    step = max(1, -(-batch.num_rows // parts))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
 
 
 def phrase_hits(elements: DataFrame, phrases: list[str], key: str = "doc_id", threshold: float = 0.8) -> DataFrame:
@@ -129,10 +173,22 @@ def phrase_hits(elements: DataFrame, phrases: list[str], key: str = "doc_id", th
         index = PhraseIndex(phrases, threshold)
         for batch in batches:
             out = []
-            for k, lines in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                lines = lines.as_py()
-                text, of = [w for x in lines for w in x["words"]], [x["pos"] for x in lines for _ in x["words"]]
-                out.extend((k, phrase, of[a], of[b], score) for phrase, a, b, score in index.hits(text))
+            for docs in _some_documents(batch):
+                lines = docs.column(1)
+                each = lines.flatten()
+                pos, texts = each.field("pos").to_numpy(), each.field("words")
+                per_line = texts.value_lengths().fill_null(0).to_numpy()
+                coded = texts.flatten().dictionary_encode()
+                known, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                n, places, bounds = index.stand_for(known)
+                first, of = np.cumsum(n) - n, np.repeat(pos, per_line)
+                ends = np.concatenate([[0], np.cumsum(per_line)])[np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy())])]
+                for k, a, b in zip(docs.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    own = code[a:b]
+                    if n[own].any():
+                        rows = _ranges(first[own], n[own])
+                        found = index.hits([known[c] for c in own.tolist()], n[own], places[rows], bounds[rows])
+                        out.extend((k, phrase, of[a + x], of[a + y], score) for phrase, x, y, score in found)
             if out:
                 types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [key, "phrase", "first", "last", "score"])
