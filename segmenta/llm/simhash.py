@@ -3,7 +3,9 @@
 Fingerprints are 64 bits.  Distinct fingerprints are laid out in tiles by population
 count; two tiles are compared (numpy exclusive-or and bit counts) only if their counts
 differ by no more than the radius, as the bit count of an exclusive-or is at least that
-difference.  Inside a tile pair the same bound, on the four 16-bit quarters, skips blocks.
+difference.  Inside a tile pair, of the radius + 1 parts that the 64 bits fall into, two near fingerprints have
+at least one in common: only fingerprints with an equal part are compared.  Where so many have equal parts that this saves
+little, all are, and the bound by counts, on the four 16-bit quarters, skips blocks.
 Every tile pair is its own group, so work spreads over tasks however the fingerprints are
 distributed; a tile pair returns spanning stars, never its pairs."""
 
@@ -25,6 +27,8 @@ RADIUS = 4
 TILE = 8192
 TASK_COMPARISONS = 1 << 31
 BLOCK = 256
+#: Pairs that are looked at together; equal parts are used if they leave fewer pairs than one in so many.
+PAIRS, SAVING = 1 << 20, 16
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -82,8 +86,51 @@ def _laid_out(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return fps[order], np.minimum.reduceat(quarters, at), np.maximum.reduceat(quarters, at)
 
 
+def _equal_parts(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None:
+    """For each of radius + 1 parts of the bits: how the fingerprints of ``b`` are ordered by it, and for each of ``a`` where those with its
+    part begin and how many they are, as ``(rows of a, order, first, count)``; None if they are too many."""
+    cuts, found, pairs = np.linspace(0, 64, radius + 2).astype(int), [], 0
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        part = lambda x: (x >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)  # noqa: E731, B023
+        of = part(b)
+        order = np.argsort(of, kind="stable")
+        first, last = (np.searchsorted(of[order], part(a), side) for side in ("left", "right"))
+        rows = np.flatnonzero(last > first)
+        pairs += int((last - first).sum())
+        if pairs * SAVING > len(a) * len(b):
+            return None
+        found.append((rows, order, first[rows], (last - first)[rows]))
+    return found
+
+
+def _by_parts(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """``stars`` over fingerprints with an equal part, or None where these are too many."""
+    own = b is None
+    other, shift = (a, 0) if own else (b, len(a))
+    if radius > 15 or (parts := _equal_parts(a, other, radius)) is None:
+        return None
+    values = a if own else np.concatenate([a, b])
+    label = np.arange(len(values))
+    for rows, order, first, count in parts:
+        if not len(rows):
+            continue
+        cut = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + PAIRS, PAIRS))
+        for x, y in zip(cut[:-1].tolist(), [*cut[1:-1].tolist(), len(rows)], strict=True):
+            n = count[x:y]
+            i = np.repeat(rows[x:y], n)
+            j = order[np.arange(n.sum()) + np.repeat(first[x:y] - (np.cumsum(n) - n), n)]
+            hit = np.bitwise_count(a[i] ^ other[j]) <= radius
+            if own:
+                hit &= i < j
+            hook(label, i[hit], j[hit] + shift)
+    moved = np.flatnonzero(label != np.arange(len(values)))
+    return values[label[moved]], values[moved]
+
+
 def stars(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Edges ``(root, member)`` that join what is linked within ``a`` (``b`` None) or between ``a`` and ``b``."""
+    if (found := _by_parts(a, b, radius)) is not None:
+        return found
     a, low_a, high_a = _laid_out(a)
     own = b is None
     b, low_b, high_b = (a, low_a, high_a) if own else _laid_out(b)
@@ -156,7 +203,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     no key: their component is the smallest key that isn't null, or null.  Repeated rows
     are kept.  An empty table gives an empty result."""
     fps = materialise(fingerprints(docs, key, text, words), "simhash-fps")
-    roots = connected_components(link(fps, radius, tile)).select(F.col("node").alias("fp"), "root")
+    edges = materialise(link(fps, radius, tile), "simhash-edges")  # read twice
+    roots = connected_components(edges).select(F.col("node").alias("fp"), "root")
     least = materialise(fps.groupBy("fp").agg(F.min(key).alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
     component = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(component, "fp").select(key, "fp", "component_id")
