@@ -9,27 +9,33 @@ compared in double precision.  The metric is the chord between unit vectors: a c
 The upper levels are common to all tasks: pivots, fitted on a bounded sample.  Every vector
 goes to the cell of its nearest pivot; cells have exact covering radii, and stand in the order in which a cover tree over the pivots
 visits them.  Neighbouring small cells share a block; a cell of more vectors than a block is dealt out by hash.  Pairs of blocks of which no
-cells are in reach of each other are never formed.  A pair of blocks is one group, which gives each vector a
+cells are in reach of each other are never formed.  Each block is written to the shared folder once, and only the numbers of the blocks
+of a pair are shuffled, so disk grows with the vectors and not with the pairs.  A pair of blocks gives each vector a
 count of links and joins what is linked by spanning stars; pairs of vectors are never listed.  Equal vectors are one point
 with a mass."""
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import bounded_batches, materialise, parts_for
+from segmenta.llm.common import bounded_batches, dropped, fresh_path, materialise, parts_for
 from segmenta.llm.components import connected_components, hook, join
+from segmenta.llm.tokenstore import filesystem
 
 THRESHOLD = 0.95
 #: Vectors in a block; vectors that the pivots are fitted on; pivots at most; pairs of vectors that a task is given.
 BLOCK = 4096
 SAMPLE, PIVOTS = 4096, 512
 TASK_PAIRS = 1 << 26
+#: Pairs of so many neighbouring blocks with as many others are met by one task, which reads each block once.
+NEAR_BLOCKS = 4
 #: Points in a leaf; points that are offered to a net at once.
 LEAF, OFFERED = 8, 256
 SLACK = 1e-9
@@ -214,6 +220,26 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 1)
 
 
+def _write_block(path: str, rows: pa.Table) -> None:
+    """One file in the shared folder; it is moved to its place when it is whole, as a task may run twice."""
+    fs, name = filesystem(path)
+    fs.create_dir(name.rsplit("/", 1)[0])
+    part = f"{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as f, pa.ipc.new_file(f, rows.schema) as out:
+        out.write_table(rows)
+    fs.move(part, name)
+
+
+def _read_block(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Nodes, masses and unit vectors of a block; None if it has no file."""
+    fs, name = filesystem(path)
+    if fs.get_file_info(name).type == pa.fs.FileType.NotFound:
+        return None
+    with fs.open_input_file(name) as f:
+        rows = pa.ipc.open_file(f).read_all().combine_chunks()
+    return rows["node"].to_numpy(), rows["mass"].to_numpy(), unit(_matrix(rows["v"].combine_chunks()))
+
+
 def link(points: DataFrame, cosine: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``(node, root, links)`` from ``points`` (``node long, v array<double or float>, mass long``), all of one length, none
     zero: partial counts of links by node, and a star edge to ``root`` where the node is linked.
@@ -251,41 +277,44 @@ def link(points: DataFrame, cosine: float = THRESHOLD, block: int = BLOCK) -> Da
         reach[first[c] : first[c] + count[c], first[e] : first[e] + count[e]] = True
     info = spark.sparkContext.broadcast(reach)
     at, of = F.array(*[F.lit(int(k)) for k in first]), F.array(*[F.lit(int(k)) for k in count])
+    cells_of = dealt
     dealt = dealt.withColumn("block", (F.get(at, F.col("cell")) + F.pmod(F.xxhash64("node"), F.get(of, F.col("cell")))).cast("int"))
-    packed = dealt.groupBy("block").agg(F.collect_list(F.struct("node", "mass", "v")).alias("rows"))
+    folder = fresh_path(spark, "cover-blocks")
+
+    def written(table: pa.Table) -> pa.Table:
+        _write_block(f"{folder}/{table['block'][0].as_py()}.arrow", table.select(["node", "mass", "v"]))
+        return pa.table({"rows": pa.array([table.num_rows], pa.int64())})
+
+    dealt.select("block", "node", "mass", "v").groupBy("block").applyInArrow(written, "rows long").agg(F.sum("rows")).collect()  # one row
+    dropped(cells_of)
 
     def pairs(batches):
         for b in batches:
-            for k in range(b.num_rows):
-                me = b.column(0)[k].as_py()
+            for me in b.column(0).to_pylist():
                 others = np.flatnonzero(info.value[me])
-                low, high = np.minimum(others, me).astype(np.int32), np.maximum(others, me).astype(np.int32)
-                side = (others < me).astype(np.int32)
-                for at in range(0, len(others), 8):  # a block's rows come again for each partner
-                    m = slice(at, at + 8)
-                    rows = b.column(1).take(pa.array([k] * len(others[m])))
-                    yield pa.RecordBatch.from_arrays([pa.array(low[m]), pa.array(high[m]), pa.array(side[m]), rows], ["b1", "b2", "side", "rows"])
-
-    rows_kind = packed.schema["rows"].dataType.simpleString()
+                others = others[others >= me].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), me, np.int32)), pa.array(others)], ["b1", "b2"])
+
     compared = sum(int(sizes[c]) * int(sizes[near[c]].sum()) for c in range(pivots)) // 2
-    met = packed.select("block", "rows").mapInArrow(pairs, f"b1 int, b2 int, side int, rows {rows_kind}")
-    met = met.repartition(parts_for(compared, TASK_PAIRS, spark.sparkContext.defaultParallelism), "b1", "b2")
-
-    def traverse(table: pa.Table) -> pa.Table:
-        got = {}
-        rows = table["rows"].combine_chunks()
-        for k, side in enumerate(table["side"].to_pylist()):
-            r = rows[k].values
-            got[side] = (r.field("node").to_numpy(), r.field("mass").to_numpy(), unit(_matrix(r.field("v"))))
-        node, mass, x = got[0] if 1 not in got else tuple(np.concatenate(p) for p in zip(got[0], got[1], strict=True))
-        first = len(got[0][0])
-        a = cover_tree(x, np.arange(first))
-        b = cover_tree(x, np.arange(first, len(x))) if 1 in got else None
-        found = dual_traversal(x, mass, a, b, cosine)
-        k = np.flatnonzero((found.links > 0) | (found.label != np.arange(len(x))))
-        return pa.table({"node": pa.array(node[k]), "root": pa.array(node[found.label[k]]), "links": pa.array(found.links[k])})
-
-    return met.groupBy("b1", "b2").applyInArrow(traverse, empty)
+    met = spark.range(total).mapInArrow(pairs, "b1 int, b2 int").withColumns({"g1": F.floor(F.col("b1") / NEAR_BLOCKS), "g2": F.floor(F.col("b2") / NEAR_BLOCKS)})
+    met = met.repartition(parts_for(compared, TASK_PAIRS, spark.sparkContext.defaultParallelism), "g1", "g2").sortWithinPartitions("g1", "g2", "b1", "b2").select("b1", "b2")
+
+    def traverse(batches):
+        read = lru_cache(2 * NEAR_BLOCKS)(lambda block: _read_block(f"{folder}/{block}.arrow"))
+        for batch in batches:
+            for one, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left, right = read(one), None if one == other else read(other)
+                if left is None or (one != other and right is None):  # no vector was dealt to it
+                    continue
+                node, mass, x = left if right is None else tuple(np.concatenate(p) for p in zip(left, right, strict=True))
+                first = len(left[0])
+                a = cover_tree(x, np.arange(first))
+                b = None if right is None else cover_tree(x, np.arange(first, len(x)))
+                found = dual_traversal(x, mass, a, b, cosine)
+                k = np.flatnonzero((found.links > 0) | (found.label != np.arange(len(x))))
+                yield pa.RecordBatch.from_arrays([pa.array(node[k]), pa.array(node[found.label[k]]), pa.array(found.links[k])], ["node", "root", "links"])
+
+    return met.mapInArrow(traverse, empty)
 
 
 def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
